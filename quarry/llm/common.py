@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,3 +90,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components: no fixed point after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver's collectors run, so that shuffle files behind tables that are already written can go."""
+    gc.collect()
+    spark._jvm.System.gc()
