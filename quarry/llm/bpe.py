@@ -57,7 +57,7 @@ def tokenizer(path: str, pattern: str):
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> PieceEncoder:
     made = tokenizer(path, pattern)
-    return PieceEncoder(lambda texts: [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)], glue=True)
+    return PieceEncoder(lambda text: made.encode_batch_fast([text], add_special_tokens=False)[0].ids, glue=True, apart="\n")
 
 
 def _lists(bounds: np.ndarray, values: np.ndarray) -> pa.ListArray:

@@ -31,7 +31,7 @@ def _encoder(path: str) -> PieceEncoder:
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
     # its normalizer and pattern never join what a blank or a line end parts
-    return PieceEncoder(lambda texts: [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)], glue=False)
+    return PieceEncoder(lambda text: made.encode_batch_fast([text], add_special_tokens=False)[0].ids, glue=False, apart=" \x00 ", fold=True)
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
