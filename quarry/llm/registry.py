@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "toxicity", "simhash", "neardup", "ppm", "winnow", "linededup")
+MODULES = ("bpe", "packing", "toxicity", "simhash", "neardup", "ppm", "winnow", "linededup", "repeats")
 
 
 def queries() -> dict:
