@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "toxicity", "simhash", "neardup", "ppm", "winnow", "linededup", "repeats")
+import corpus_pipeline
+
+MODULES = ("winnow", "neardup", "bpe", "simhash", "chat", "packing", "repeats", "ppm", "toxicity", "linededup")
+
+
+def _all(name: str) -> dict:
+    return {k: v for m in MODULES for k, v in getattr(import_module(f"quarry.llm.{m}"), name, {}).items()}
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in import_module(f"quarry.llm.{m}").QUERIES.items()}
+    return _all("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in getattr(import_module(f"quarry.llm.{m}"), "ORACLES", {}).items()}
+    return _all("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

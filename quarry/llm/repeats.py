@@ -201,10 +201,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, whole_chars: bool = False) -> DataFrame:
     """docs, and kept binary: the bytes of each text outside its repeated spans; n_bytes, n_removed, n_spans long.
 
-    A null text is an empty one. Every row stays, with all its columns.
+    A null text is an empty one. Every row stays, with all its columns. With
+    whole_chars a span that begins or ends inside a character leaves it whole.
     """
     spans = repeated_spans(docs, id_col, text_col, length, gram).groupBy("d").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("_d"), text_or_empty(text_col).alias("text")).join(written(spans).withColumnRenamed("d", "_d"), "_d", "left").select("doc", "text", "spans")
@@ -218,6 +219,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept, end, runs, gone = [], 0, 0, 0
                     for span in spans or ():
                         low, high = span["low"], span["high"]
+                        if whole_chars:
+                            while low < high and text[low] & 0xC0 == 0x80:
+                                low += 1
+                            while low < high < len(text) and text[high] & 0xC0 == 0x80:
+                                high -= 1
                         if low > end or not runs:
                             kept.append(text[end:low])
                             runs += 1
