@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "patterns")
+MODULES = ("aggregates", "patterns", "graph", "ledger", "analytics", "records")
 
 
 def _modules():

@@ -83,11 +83,11 @@ def construct_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_type").rlike("^(STANDARD|SMALL).*(TIN|STEEL)$|1$")).select("p_partkey", "p_type")
+    return table(spark, sf_dir, "part").where(F.col("p_type").rlike("^(STANDARD|SMALL)")).select("p_partkey", "p_type")
 
 
 def contains_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.lower("p_name").contains("1") & F.col("p_brand").startswith("Brand")).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(F.lower("p_name").contains("ring") & F.col("p_brand").startswith("Brand#1")).select("p_partkey", "p_name")
 
 
 def string_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +153,8 @@ QUERIES = {
     "ask_exists": (ask_exists, "SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 100000) AS answer"),
     "construct_chain": (construct_chain, """SELECT 'urn:customer:' || c_custkey AS s, 'urn:locatedIn' AS p, 'urn:region:' || r_regionkey AS o FROM customer
         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
-    "regex_filter": (regex_filter, "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^(STANDARD|SMALL).*(TIN|STEEL)$|1$')"),
-    "contains_filter": (contains_filter, "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') AND starts_with(p_brand, 'Brand')"),
+    "regex_filter": (regex_filter, "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^(STANDARD|SMALL)')"),
+    "contains_filter": (contains_filter, "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') AND starts_with(p_brand, 'Brand#1')"),
     "string_compare": (string_compare, "SELECT p_partkey, p_size FROM part WHERE CAST(p_size AS VARCHAR) > '22'"),
     "duration_filter": (duration_filter, "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate + INTERVAL 90 DAY"),
     "precedes_theta": (precedes_theta, """WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_id FROM events)
