@@ -139,7 +139,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
 
 def as_text(decoded: DataFrame, bytes_col: str = "bytes") -> DataFrame:
     """decoded with text: the bytes as UTF-8, each broken part of a character as U+FFFD."""
-    return decoded.withColumn("text", F.decode(F.col(bytes_col), "UTF-8"))
+    return decoded.withColumn("text", F.make_valid_utf8(F.col(bytes_col).cast("string")))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

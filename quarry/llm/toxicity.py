@@ -139,7 +139,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
     labels of both classes the model scores every text by the share of label 1.
     """
     y = np.asarray(labels, dtype=np.float64)
-    share = float((y.sum() + 0.5) / (len(y) + 1))
+    share = float((y.sum() + 0.5) / (len(y) + 2))
     if len(set(labels)) < 2 or not any(map(_WORD.search, texts)):
         return Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share))))
     made = _Trainer(texts, y, seed)
