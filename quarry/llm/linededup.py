@@ -7,7 +7,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_BREAK, discard, lower_ascii, read, settle, text_or_empty, written
+from quarry.llm.common import discard, read, settle, text_or_empty, written
 
 #: Jaccard similarity times ten of two lines that match: whole numbers keep the bounds exact.
 TENTHS = 8
@@ -17,8 +17,17 @@ COUNTERS = 8192
 HASH_BITS = 52
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(lower_ascii(line), WORD_BREAK), lambda w: w != "")
+#: Of a set's rarest words, those under which it first meets the earliest line.
+LEADS = 2
+
+
+def _folded(text: Column) -> Column:
+    """A to Z lower-cased, white space but the line end as blanks: one pass, and a split at a plain blank after it."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    ")
+
+
+def _words(folded: Column) -> Column:
+    return F.array_remove(F.split(folded, " "), "")
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
@@ -26,7 +35,7 @@ def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
 
     Counts all words of all texts. COUNTERS numbers come to the driver.
     """
-    word = docs.select(F.explode(F.split(lower_ascii(text_or_empty(text_col)), WORD_BREAK)).alias("w")).where("w <> ''")
+    word = docs.select(F.explode(F.split(F.replace(_folded(text_or_empty(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = dict(word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("k")).count().collect())
     middle = median([counts.get(k, 0) for k in range(COUNTERS)]) or 1
     return [max(0, int(counts.get(k, 0) / middle).bit_length() - 1) for k in range(COUNTERS)]
@@ -52,8 +61,8 @@ def with_keys(lines: DataFrame, rare: list[int], line_col: str = "line") -> Data
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """d, l, line: the lines of every text, counted from 0."""
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("l", "line"))
+    """d, l, line: the folded lines of every text, counted from 0."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.posexplode(F.split(_folded(text_or_empty(text_col)), "\n")).alias("l", "line"))
 
 
 def _overlap(n: Column, m: Column) -> Column:
@@ -86,18 +95,20 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that repeat an id and a text do not match each other.
 
     Lines with equal sets are one set, at its first place. A set of n words is
-    met under its n - ceil(0.8 n) + 1 rarest; first with the earliest line under
-    each such word, and what that does not settle with all of them.
+    met under its n - ceil(0.8 n) + 1 rarest words by all others, but first, under
+    a few of them, by the earliest line there: most of a large group of variants
+    is settled by that, and need not meet the others.
     """
     spark = docs.sparkSession
     lines = with_keys(split_lines(docs, id_col, text_col), rarity(docs, text_col))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * TENTHS / 10).cast("int") + 1)
     parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    slim = written(lines.where(n >= max(1, min_words)).select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), prefix.alias("prefix")))
+    # lines without words are left out after the write: a filter before it would compute the keys twice
+    slim = written(lines.select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), prefix.alias("prefix"))).where(F.col("n") >= max(1, min_words))
     settle(spark)
     sets = slim.groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    met = sets.select("at.d", "at.l", "n", "sig", F.posexplode("prefix").alias("pos", "key"))
+    met = sets.select("at.d", "at.l", "n", "sig", F.posexplode(F.slice("prefix", 1, LEADS)).alias("pos", "key"))
     lead = met.groupBy("key").agg(F.min(F.struct("d", "l", "n", "sig", "pos")).alias("first")).select("key", "first.*")
     ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al")]
     same = F.col("a.key") == F.col("b.key")
@@ -106,7 +117,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """d, l of the pairs' lines whose sets do match."""
         pairs = written(pairs.distinct())
         wanted = pairs.select("d", "l").unionByName(pairs.select(F.col("ad").alias("d"), F.col("al").alias("l"))).distinct()
-        some = split_lines(docs.join(wanted.select(F.col("d").alias(id_col)).distinct(), id_col, "left_semi"), id_col, text_col).join(wanted, ["d", "l"], "left_semi")
+        some = split_lines(docs.select(id_col, text_col).join(wanted.select(F.col("d").alias(id_col)).distinct(), id_col, "left_semi"), id_col, text_col).join(wanted, ["d", "l"], "left_semi")
         sets_ = written(some.select("d", "l", F.array_distinct(_words(F.col("line"))).alias("set")).dropDuplicates(["d", "l"]))
         settle(spark)
         a, b = sets_.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("set").alias("a_set")), sets_.withColumnRenamed("set", "b_set")
@@ -118,11 +129,13 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out
 
     settled = verified(met.alias("b").join(lead.alias("a"), same & _may_match("a", "b")).select(*ends))
-    rest = met.join(settled, ["d", "l"], "left_anti")
-    more = verified(rest.alias("b").join(met.alias("a"), same & _may_match("a", "b")).select(*ends))
+    # the same rows on both sides of the join, so that one shuffle serves both
+    known = settled.join(slim.select("d", "l", "s1", "s2"), ["d", "l"]).select("s1", "s2", F.lit(True).alias("settled"))
+    all_ = sets.join(known.dropDuplicates(["s1", "s2"]), ["s1", "s2"], "left").select("at.d", "at.l", "n", "sig", F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "key"))
+    more = verified(all_.alias("b").join(all_.alias("a"), same & F.col("b.open") & _may_match("a", "b")).select(*ends))
     # lines after the first with an equal set match it; a first line may match one with another set
     first = slim.groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"))
-    later = slim.join(first, ["s1", "s2"]).where((F.col("d") > F.col("at.d")) | ((F.col("d") == F.col("at.d")) & (F.col("l") > F.col("at.l")))).select("d", "l")
+    later = slim.select("d", "l", "s1", "s2").join(first, ["s1", "s2"]).where((F.col("d") > F.col("at.d")) | ((F.col("d") == F.col("at.d")) & (F.col("l") > F.col("at.l")))).select("d", "l")
     return later.unionByName(settled).unionByName(more)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_BREAK, partitions, read, text_or_empty
+from quarry.llm.common import partitions, read, text_or_empty
 
 #: Words of a gram, and grams of a window: any run of GRAM + WINDOW - 1 equal words leaves a common mark.
 GRAM, WINDOW = 5, 4
@@ -27,7 +27,8 @@ def with_marks(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window:
     """
     last = (1 << PLACE) - 1
     keep = df.columns
-    step = df.withColumn("_w", F.transform(F.filter(F.split(text_or_empty(text_col), WORD_BREAK), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    blanks = F.translate(text_or_empty(text_col), "\t\n\x0b\x0c\r", "     ")  # a split at a plain blank costs less than at a pattern
+    step = df.withColumn("_w", F.transform(F.array_remove(F.split(blanks, " "), ""), lambda w: F.xxhash64(w)))
     size = F.size("_w")
     grams = F.when(size == 0, F.array().cast("array<bigint>")).when(size < gram, F.array(F.xxhash64("_w"))).otherwise(F.transform(F.sequence(F.lit(0), size - gram), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(gram)])))
     step = step.select(*keep, grams.alias("_g"))
@@ -85,7 +86,7 @@ def with_next(docs: DataFrame, id_col: str, order: list[Column], carried: list[s
     where = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])
     # the first of each range: its highest id is found by id alone, then its rows are ranked
     top = rows.groupBy("_range").agg(F.max(id_col).alias("_top"))
-    firsts = rows.join(top.withColumnRenamed("_range", "_r"), (F.col("_range") == F.col("_r")) & F.col(id_col).eqNullSafe(F.col("_top")))
+    firsts = rows.join(F.broadcast(top.withColumnRenamed("_range", "_r")), (F.col("_range") == F.col("_r")) & F.col(id_col).eqNullSafe(F.col("_top")))
     firsts = firsts.withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy(*order))).where("_n = 1").select(*docs.columns, where[F.col("_range")].alias("_range"), F.lit(1).alias("_guest"))
     at = W.partitionBy("_range").orderBy("_guest", F.col(id_col).desc_nulls_last(), *order)
     return rows.unionByName(firsts).select(*docs.columns, "_guest", *[F.lead(c).over(at).alias(f"next_{c}") for c in carried]).where("_guest = 0").drop("_guest")
@@ -94,12 +95,15 @@ def with_next(docs: DataFrame, id_col: str, order: list[Column], carried: list[s
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
     docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    own = with_marks(docs, "text", "marks").select("doc_id", "text", _digest("marks").alias("fingerprint"), _hashes("marks").alias("own"))
-    near = with_next(own, "doc_id", [F.xxhash64("text")], ["text", "own"], partitions(spark))
+    # only texts move; the marks of the next text are computed again where it arrives
+    near = with_next(docs, "doc_id", [F.xxhash64("text")], ["text"], partitions(spark))
     n, cut = F.length("text"), F.floor(F.length("text") / 3)
-    edited = near.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "own", "next_own", F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("next_text"), F.lit(1), cut.cast("int"))).alias("edited"))
-    both = with_marks(edited, "edited", "marks")
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", _digest("marks").alias("edited_fingerprint"), likeness(F.col("own"), _hashes("marks")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("next_text"), F.lit(1), cut.cast("int")))
+    rows = near.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text")
+    rows = with_marks(rows, "text", "marks").select("doc_id", "n_chars", "edited", "next_text", _digest("marks").alias("fingerprint"), _hashes("marks").alias("own"))
+    rows = with_marks(rows, "next_text", "marks").select("doc_id", "n_chars", "edited", "fingerprint", "own", likeness(F.col("own"), _hashes("marks")).alias("near_next"))
+    rows = with_marks(rows, "edited", "marks")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", _digest("marks").alias("edited_fingerprint"), likeness(F.col("own"), _hashes("marks")).alias("near_edited"), "near_next")
 
 
 QUERIES = {"op1_winnowing": op1_winnowing}
