@@ -184,12 +184,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settle(docs.sparkSession)
     firsts = written(contexts.groupBy("h", "c").agg(F.min(F.struct("d", "lo", "many")).alias("at"), F.count(F.lit(1)).alias("n")).select("h", "c", "at.*", "n"))
     again = contexts.join(firsts.where("n > 1").select("h", "c", F.col("d").alias("fd"), F.col("lo").alias("fl")), ["h", "c"]).where("d > fd or (d = fd and lo > fl)")
-    spans = [copies.where(F.col("bytes") >= length).select("d", F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")), again.select("d", F.col("lo").alias("low"), (F.col("lo") + F.col("many") + (length - 1)).alias("high"))]
+    again = written(again.select("d", F.col("lo").alias("low"), (F.col("lo") + F.col("many") + (length - 1)).alias("high")))
+    discard(contexts)
+    settle(docs.sparkSession)
+    spans = [copies.where(F.col("bytes") >= length).select("d", F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high")), again]
 
     different = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     to_cut = firsts.join(different, "h").groupBy("d").agg(F.collect_list(F.struct("h", "lo", "many", "k")).alias("cuts"))
     cuts = alone.join(to_cut, "d").select("d", F.encode("text", "UTF-8").alias("data"), F.explode("cuts").alias("x"))
     cut = written(cuts.select("x.h", "d", "x.lo", "x.many", "x.k", F.substring("data", F.col("x.lo").cast("int") + 1, (F.col("x.many") + (length - 1)).cast("int")).alias("context")))
+    discard(firsts)
     settle(docs.sparkSession)
     spans.append(_shards(cut.where(F.col("k") <= CROWD).select("h", "d", "lo", "many", "context"), length))
     strings = cut.where(F.col("k") > CROWD).select("d", "lo", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("many").cast("int")), lambda i: F.substring(F.col("context"), i, F.lit(length)))).alias("o", "string")).select("d", (F.col("lo") + F.col("o")).alias("low"), "string")
@@ -198,6 +202,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
+    out = written(out)
+    for table in (again, copies, cut):
+        discard(table)
+    settle(docs.sparkSession)
     return out
 
 
@@ -208,7 +216,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole_chars a span that begins or ends inside a character leaves it whole.
     """
     spans = repeated_spans(docs, id_col, text_col, length, gram).groupBy("d").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("_d"), text_or_empty(text_col).alias("text")).join(written(spans).withColumnRenamed("d", "_d"), "_d", "left").select("doc", "text", "spans")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("_d"), text_or_empty(text_col).alias("text")).join(spans.withColumnRenamed("d", "_d"), "_d", "left").select("doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
