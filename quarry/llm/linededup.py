@@ -105,9 +105,13 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prefix = F.slice("keys", 1, n - F.ceil(n * TENTHS / 10).cast("int") + 1)
     parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
     # lines without words are left out after the write: a filter before it would compute the keys twice
-    slim = written(lines.select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), prefix.alias("prefix"))).where(F.col("n") >= max(1, min_words))
+    full = written(lines.select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), prefix.alias("prefix")))
+    slim = full.where(F.col("n") >= max(1, min_words))
+    settle(spark)
+    sets = written(slim.groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")))
+    places = written(slim.select("d", "l", "s1", "s2"))
+    discard(full)
     settle(spark)
-    sets = slim.groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     met = sets.select("at.d", "at.l", "n", "sig", F.posexplode(F.slice("prefix", 1, LEADS)).alias("pos", "key"))
     lead = met.groupBy("key").agg(F.min(F.struct("d", "l", "n", "sig", "pos")).alias("first")).select("key", "first.*")
     ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al")]
@@ -130,12 +134,11 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     settled = verified(met.alias("b").join(lead.alias("a"), same & _may_match("a", "b")).select(*ends))
     # the same rows on both sides of the join, so that one shuffle serves both
-    known = settled.join(slim.select("d", "l", "s1", "s2"), ["d", "l"]).select("s1", "s2", F.lit(True).alias("settled"))
+    known = settled.join(places, ["d", "l"]).select("s1", "s2", F.lit(True).alias("settled"))
     all_ = sets.join(known.dropDuplicates(["s1", "s2"]), ["s1", "s2"], "left").select("at.d", "at.l", "n", "sig", F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "key"))
     more = verified(all_.alias("b").join(all_.alias("a"), same & F.col("b.open") & _may_match("a", "b")).select(*ends))
     # lines after the first with an equal set match it; a first line may match one with another set
-    first = slim.groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"))
-    later = slim.select("d", "l", "s1", "s2").join(first, ["s1", "s2"]).where((F.col("d") > F.col("at.d")) | ((F.col("d") == F.col("at.d")) & (F.col("l") > F.col("at.l")))).select("d", "l")
+    later = places.join(sets.select("s1", "s2", "at"), ["s1", "s2"]).where((F.col("d") > F.col("at.d")) | ((F.col("d") == F.col("at.d")) & (F.col("l") > F.col("at.l")))).select("d", "l")
     return later.unionByName(settled).unionByName(more)
 
 
