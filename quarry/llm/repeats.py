@@ -17,7 +17,7 @@ LENGTH, GRAM = 100, 24
 #: Bits of the filter that tells which grams repeat. Its size is fixed; a full filter costs time, not results.
 FILTER_BITS = 25
 #: Bytes of a shard that are sorted at a time; contexts of one gram beyond which its windows are grouped instead.
-SHARD_BYTES, CROWD = 6_000_000, 20_000
+SHARD_BYTES, CROWD = 3_000_000, 20_000
 #: Bytes of a text that anchors are looked for at a time.
 BLOCK = 1 << 19
 
