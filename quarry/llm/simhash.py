@@ -8,13 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.chunks import slices
-from quarry.llm.common import components, discard, lower_ascii, read, text_or_empty, written
+from quarry.llm.common import components, discard, lower_ascii, read, settle, text_or_empty, written
 
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 3
+#: Jaccard similarity times ten of two near texts, counters that shingles are counted in, and rarest shingles under which a set first meets the smallest.
+TENTHS, COUNTERS, LEADS = 8, 1 << 16, 2
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Shingles that are hashed and counted at a time.
 _STRIDE = 1 << 15
@@ -22,18 +24,26 @@ _STRIDE = 1 << 15
 
 def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64 bits, each 1 if it is set in over half of the shingles' XXH64; 0 without words."""
+    return _majority(_hashes(text, shingle, seed))
+
+
+def _hashes(text: str, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of a text, _STRIDE at a time; nothing without words."""
     words = _WORD.findall(text)
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
+    n = max(1, len(words) - shingle + 1) if words else 0
     for low in range(0, n, _STRIDE):
         high = min(n, low + _STRIDE)
         part = words[low : high + shingle - 1]
         joined = map(" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [" ".join(words)]
-        h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in joined), dtype="<u8", count=high - low)
+        yield np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in joined), dtype="<u8", count=high - low)
+
+
+def _majority(hashes: Iterator[np.ndarray]) -> int:
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in hashes:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -179,12 +189,139 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return bits.join(of, "bits").select(id_col, "bits", "component_id")
 
 
+def _shingle_set(text: str, shingle: int) -> tuple[np.ndarray, int]:
+    """The different hashes of a text's shingles, sorted, and its SimHash."""
+    found = list(_hashes(text, shingle, SEED))
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *found])), _majority(found)
+
+
+def _set_hash(keys: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(keys.tobytes(), SEED))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("id"), lower_ascii(text_or_empty()).alias("text"))
+
+
+def _rarity(docs: DataFrame, shingle: int) -> np.ndarray:
+    """For each counter of shingles, how far its count is above the middle one, in powers of two. COUNTERS numbers come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for t in part.column("text").to_pylist():
+                    for h in _hashes(t, shingle, SEED):
+                        np.add.at(count, (h & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["k", "n"])
+
+    count = np.zeros(COUNTERS, dtype=np.int64)
+    for r in _texts(docs).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        count[r.k] = r.n
+    return np.log2(np.maximum(1, count / max(1.0, float(np.median(count))))).astype(np.uint8)
+
+
+def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, s, bits, n, prefix: the hash of a text's shingle set, its SimHash, the set's size and its rarest shingles.
+
+    Of two sets that share JACCARD of their shingles or more, the prefixes share
+    one: n - ceil(0.8 n) + 1 shingles in one order, rarest first.
+    """
+    rare = _rarity(docs, shingle)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                s, bits, n, prefix = [], [], [], []
+                for t in part.column("text").to_pylist():
+                    keys, b = _shingle_set(t, shingle)
+                    need = len(keys) - -(-len(keys) * TENTHS // 10) + 1 if len(keys) else 0
+                    order = np.argsort(rare[(keys & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
+                    s.append(_set_hash(keys))
+                    bits.append(_signed(b))
+                    n.append(len(keys))
+                    prefix.append(keys[order[:need]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s, pa.int64()), pa.array(bits, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "s", "bits", "n", "prefix"])
+
+    return _texts(docs).mapInArrow(run, f"id {kind}, s long, bits long, n long, prefix array<long>")
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Those of pairs (a, b: hashes of sets) whose sets have a Jaccard similarity of 0.8 or more."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    wanted = written(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s", "left_semi").select("s", "low"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keys = [_shingle_set(t, shingle)[0] for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(k) for k in keys], pa.int64()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))], ["s", "keys"])
+
+    some = _texts(docs.join(wanted.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    # an id may have several texts
+    full = written(some.mapInArrow(run, "s long, keys array<long>").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
+    settle(docs.sparkSession)
+    x, y = full.select(F.col("s").alias("a"), F.col("keys").alias("x")), full.select(F.col("s").alias("b"), F.col("keys").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    out = written(pairs.join(x, "a").join(y, "b").where(both * (10 + TENTHS) >= TENTHS * (F.size("x") + F.size("y"))).select("a", "b"))
+    for t in (pairs, wanted, full):
+        discard(t)
+    settle(docs.sparkSession)
+    return out
+
+
+def _fits(a: str, b: str) -> Column:
+    """Whether sets with a first common shingle at these places may be alike: their sizes, and what is left of both."""
+    A, B = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    n, m = A("n"), B("n")
+    left = F.least(n - A("pos"), m - B("pos"))
+    return (10 * n >= TENTHS * m) & (10 * m >= TENTHS * n) & ((10 + TENTHS) * left >= TENTHS * (n + m))
+
+
+def near_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id: the smallest id reachable over shingle sets with a Jaccard similarity of 0.8 or more.
+
+    Near texts are often more than 3 bits of SimHash apart, so fingerprints only
+    settle what they can: sets with equal fingerprints or linked ones, and sets
+    that share a rarest shingle with the smallest such set, are compared first.
+    Only sets that are still in different groups then meet under the shingles of
+    their prefixes, where all that are near do. Every link is verified.
+    """
+    spark = docs.sparkSession
+    rows = written(_profiles(docs, shingle))
+    settle(spark)
+    sets = written(rows.groupBy("s").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    heads = written(sets.groupBy("bits").agg(F.min("s").alias("head")))
+    settle(spark)
+    met = links(heads.select("bits")).join(heads.select(F.col("bits").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("bits").alias("b"), F.col("head").alias("y")), "b")
+    alike = sets.join(heads, "bits").select(F.col("s").alias("a"), F.col("head").alias("b")).unionByName(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    lead = sets.select("s", "n", F.posexplode(F.slice("prefix", 1, LEADS)).alias("pos", "key"))
+    first = lead.groupBy("key").agg(F.min(F.struct("s", "n", "pos")).alias("f")).select("key", "f.*")
+    led = lead.alias("x").join(first.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.s") != F.col("y.s")) & _fits("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+    settled = _verified(docs, sets, alike.unionByName(led), shingle)
+    groups = components(settled)
+    open_ = written(sets.join(groups, F.col("s") == F.col("node"), "left").select("s", "n", F.coalesce("component", "s").alias("g"), "prefix"))
+    settle(spark)
+    all_ = open_.select("s", "n", "g", F.posexplode("prefix").alias("pos", "key"))
+    more = all_.alias("x").join(all_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.g") != F.col("y.g")) & _fits("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+    found = components(settled.unionByName(_verified(docs, sets, more, shingle)))
+    joined = sets.join(found, F.col("s") == F.col("node"), "left").select("s", "low", F.coalesce("component", "s").alias("g"))
+    of = written(joined.join(joined.groupBy("g").agg(F.min("low").alias("component_id")), "g").select("s", "component_id"))
+    for t in (sets, heads, open_, settled):
+        discard(t)
+    return rows.join(of, "s").select(F.col("id").alias("doc_id"), "component_id")
+
+
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id, with the columns that it came with.
 
-    Rows with a null doc_id are kept. Of repeated rows with that smallest id all stay.
+    Near are texts whose sets of shingles have a Jaccard similarity of 0.8 or
+    more. Texts without words are alike. Rows with a null doc_id are kept. Of
+    repeated rows with that smallest id all stay.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), shingle=shingle)
+    found = near_sets(docs.where("doc_id is not null"), shingle)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
