@@ -1,4 +1,4 @@
-"""Language-model scores by prediction by partial matching over the bytes of words."""
+"""Language-model scores by prediction by partial matching over bytes: of whole texts, or of words."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.chunks import slices
 from quarry.llm.common import discard, read, settle, text_or_empty, written
 
 #: Longest context in symbols; the start of a word counts as one.
@@ -18,6 +19,8 @@ ORDER = 5
 EDGE, SYMBOLS, BITS = 256, 257, 9
 #: Bytes of text of a bucket of documents, and words of a bucket of the vocabulary, about.
 BUCKET_BYTES, BUCKET_WORDS = 12_000_000, 100_000
+#: Last symbols of a context by which contexts are dealt to groups, and bytes of text for each group. Tables of shorter contexts go to every task.
+NEAR, GROUP_BYTES = 3, 8_000_000
 
 
 def _plain(col: str) -> Column:
@@ -167,9 +170,74 @@ def word_scores(vocabulary: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def longest_keys(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text (its bytes, then its end) the place of its first symbol, and of each symbol the key with its longest context.
+
+    A context reaches back over words, up to the start of the text, which is a symbol.
+    """
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), dtype=np.uint8).astype(np.int64)
+    start = np.cumsum(size + 1) - size - 1
+    symbol = np.insert(data, np.cumsum(size), EDGE)  # an end after each text
+    left = np.arange(1, len(symbol) + 1) - np.repeat(start, size + 1)  # symbols before, the start included
+    padded = np.r_[np.full(order, EDGE), symbol]
+    key = symbol | np.minimum(left, order) << BITS * (order + 1)
+    for k in range(1, order + 1):
+        key |= np.where(left >= k, padded[order - k : len(padded) - k], 0) << BITS * k
+    return start, key
+
+
+def _shorter(key: np.ndarray, to: int, order: int) -> np.ndarray:
+    return key & ((1 << BITS * (to + 1)) - 1) | to << BITS * (order + 1)
+
+
+def _level_of(key: np.ndarray, n: np.ndarray, to: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of contexts of to symbols, and their counts, from longest keys."""
+    some = (n > 0) & (key >> BITS * (order + 1) >= to)
+    return _counted(_shorter(key[some], to, order), n[some])
+
+
+def _find(sorted_: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of want in sorted_, and whether they are there."""
+    if not len(sorted_):
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    at = np.minimum(np.searchsorted(sorted_, want), len(sorted_) - 1)
+    return at, sorted_[at] == want
+
+
+def key_scores(key: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> np.ndarray:
+    """The log10 probability of each longest key's symbol: the rule of code_lengths(). levels: edges and counts, by length of context."""
+    lp, x, d, done = np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key), bool)
+    for k in range(order, -1, -1):
+        edge, n = levels[k]
+        if not len(edge):
+            continue
+        context, of, sizes = np.unique(edge >> BITS, return_inverse=True, return_counts=True)
+        taken = np.zeros(len(edge))
+        if k:
+            at, there = _find(levels[k - 1][0], _shorter(edge, k - 1, order))
+            taken = levels[k - 1][1][at] * there
+        t, seen = np.bincount(of, n), np.bincount(of, taken)
+        here = np.flatnonzero(~done & (key >> BITS * (order + 1) >= k))
+        asked = _shorter(key[here], k, order)
+        at, known = _find(context, asked >> BITS)
+        here, asked, at = here[known], asked[known], at[known]
+        place, hit = _find(edge, asked)
+        new = sizes[at] - d[here]
+        total = t[at] - x[here] + new
+        part = np.where(hit, n[place], new)
+        lp[here] += np.where(part > 0, np.log10(np.maximum(part, 1) / np.maximum(total, 1)), 0.0)
+        x[here], d[here], done[here] = seen[at], sizes[at], hit
+    return np.where(done, lp, lp - np.log10(SYMBOLS - d))
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, across: bool = False) -> DataFrame:
     """Scores of every whole text by a model of the texts for which learn holds.
 
+    With across the model is one of whole texts: words joined by one blank, each
+    byte and the end under the bytes before it, over word ends. Else it is one of
+    words, each by itself, and their order counts for nothing.
+
     Returns id_col, n_tokens, n_known, train_tokens long, base_score, score
     double. A text is its words, A to Z lower-cased, and an end; score is the
     log10 probability that prediction by partial matching gives it, base_score
@@ -184,6 +252,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), _plain(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
     many = max(1, size // BUCKET_BYTES)
+    groups, near = max(1, size // GROUP_BYTES), min(NEAR, order)
+    if across:
+        rows = rows.withColumn("text", F.trim(F.regexp_replace("text", " +", " ")))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", F.length("text")), F.lit(many)).cast("int"))
 
     def distinct(table: pa.Table) -> pa.Table:
@@ -196,19 +267,80 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             parts.append(pa.table({"word": coded.dictionary, "c": pa.array(np.bincount(code, of, len(coded.dictionary)).astype(np.int64))}))
         parts.append(pa.table({"word": pa.array([""]), "c": pa.array([pc.sum(pc.cast(table.column("learn"), pa.int64())).as_py()], pa.int64())}))
         all_ = pa.concat_tables(parts).group_by("word").aggregate([("c", "sum")])
-        return pa.table({"bucket": pa.array(np.full(len(all_), table.column("bucket")[0].as_py(), dtype=np.int32)), "word": all_.column("word"), "c": all_.column("c_sum")})
-
-    asked = written(rows.groupBy("bucket").applyInArrow(distinct, "bucket int, word string, c long"))
+        found = pa.table({"word": all_.column("word"), "c": all_.column("c_sum")})
+        if across:
+            found = pa.concat_tables([found, symbols(table)], promote_options="default")
+        else:
+            found = pa.concat_tables([found, packed.empty_table()], promote_options="default")
+        return found.add_column(0, "bucket", pa.array(np.full(len(found), table.column("bucket")[0].as_py(), dtype=np.int32)))
+
+    packed = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+    def symbols(table: pa.Table) -> pa.Table:
+        """The bucket's longest keys and their counts in learned texts: a row for each group of contexts, and one (-1) of short contexts' edges."""
+        key, n = [], []
+        for b in _pieces(table.select(["learn", "text"])):
+            for part in slices(b, "text"):
+                start, ask = longest_keys(part.column("text"), order)
+                coded = pa.array(ask).dictionary_encode()
+                learned = np.repeat(part.column("learn").to_numpy(zero_copy_only=False), np.diff(np.r_[start, len(ask)])).astype(np.int64)
+                key.append(coded.dictionary.to_numpy())
+                n.append(np.bincount(coded.indices.to_numpy(), learned, len(coded.dictionary)).astype(np.int64))
+        key, n = _counted(np.concatenate(key), np.concatenate(n))
+        low = [_level_of(key, n, k, order) for k in range(near)]
+        g = (((key >> BITS & (1 << BITS * near) - 1) * 0x9E3779B1 & 0xFFFFFFFF) >> 8) % groups
+        by = np.argsort(g, kind="stable")
+        cut = np.searchsorted(g[by], np.arange(groups + 1))
+        rows_ = [(-1, np.concatenate([k for k, _ in low]), np.concatenate([c for _, c in low]))] + [(i, key[by[p:q]], n[by[p:q]]) for i, (p, q) in enumerate(zip(cut, cut[1:])) if p < q]
+        return pa.table({"g": [i for i, _, _ in rows_], "keys": [k.tobytes() for _, k, _ in rows_], "n": [c.tobytes() for _, _, c in rows_]}, schema=packed)
+
+    asked = written(rows.groupBy("bucket").applyInArrow(distinct, "bucket int, word string, c long, g int, keys binary, n binary"))
+    asked_words, asked_keys = asked.where("word is not null"), asked.where("g >= 0").select("bucket", "g", "keys", "n")
     settle(spark)
-    vocabulary = written(asked.groupBy("word").agg(F.sum("c").alias("c")))
+    vocabulary = written(asked_words.groupBy("word").agg(F.sum("c").alias("c")))
     settle(spark)
     totals = vocabulary.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n_all, n_words = totals[0] or 0, totals[1]
-    words = word_scores(vocabulary, order)
+    words = vocabulary.withColumn("lp", F.lit(0.0)) if across else word_scores(vocabulary, order)
     settle(spark)
 
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["key", "n"])
+
+    def short_levels() -> list[tuple[np.ndarray, np.ndarray]]:
+        """Edges of contexts shorter than near: as many as there are different byte sequences of near bytes."""
+        found = asked.where("g = -1").select("keys", "n").mapInArrow(unpacked, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+        key, n = (found.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+        return [(key[at], n[at]) for at in (key >> BITS * (order + 1) == k for k in range(near))]
+
+    def answered() -> DataFrame:
+        short = spark.sparkContext.broadcast(short_levels())
+
+        def answer(table: pa.Table) -> pa.Table:
+            buckets, keys_, ns = (table.column(c).to_pylist() for c in ("bucket", "keys", "n"))
+            keys_ = [np.frombuffer(k, np.int64) for k in keys_]
+            key, n = _counted(np.concatenate(keys_), np.concatenate([np.frombuffer(c, np.int64) for c in ns]))
+            lp = key_scores(key, short.value + [_level_of(key, n, k, order) for k in range(near, order + 1)], order)
+            return pa.table({"bucket": pa.array(buckets, pa.int32()), "keys": [k.tobytes() for k in keys_], "lps": [lp[np.searchsorted(key, k)].tobytes() for k in keys_]})
+
+        return written(asked_keys.groupBy("g").applyInArrow(answer, "bucket int, keys binary, lps binary"))
+
     def finish(docs_: pa.Table, values: pa.Table) -> pa.Table:
-        values = values.combine_chunks()
+        replies = values.filter(pc.is_valid(values.column("keys")))
+        values = values.filter(pc.is_valid(values.column("word"))).combine_chunks()
+        if across:
+            key, key_lp = (np.concatenate([np.frombuffer(x, t) for x in replies.column(c).to_pylist()]) for c, t in (("keys", np.int64), ("lps", np.float64)))
+            by = np.argsort(key)
+            key, key_lp = key[by], key_lp[by]
+        del replies
+
+        def sequence(texts: pa.Array) -> np.ndarray:
+            start, ask = longest_keys(texts, order)
+            coded = pa.array(ask).dictionary_encode()
+            return np.add.reduceat(key_lp[np.searchsorted(key, coded.dictionary.to_numpy())][coded.indices.to_numpy()], start)
+
         known_words = values.column("word").combine_chunks() if len(values) else pa.array([], pa.string())
         c, lp = values.column("c").to_numpy(), values.column("lp").to_numpy()
         base = np.log10((c + 1) / (n_all + n_words + 1))
@@ -219,10 +351,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             at = pc.index_in(found, value_set=known_words).to_numpy(zero_copy_only=False)
             n = np.diff(bounds)
             total = lambda x, at=at, bounds=bounds: np.diff(np.r_[0, np.cumsum(x[at])][bounds]) + x[end]
-            out.append(pa.table({"id": b.column("id"), "n_tokens": pa.array(n + 1), "n_known": pa.array(total((c > 0).astype(np.int64))), "base_score": pa.array(total(base)), "score": pa.array(total(lp))}))
+            out.append(pa.table({"id": b.column("id"), "n_tokens": pa.array(n + 1), "n_known": pa.array(total((c > 0).astype(np.int64))), "base_score": pa.array(total(base)), "score": pa.array(np.concatenate([sequence(p.column("text")) for p in slices(b, "text")]) if across else total(lp))}))
         return pa.concat_tables(out)
 
-    values = asked.select("bucket", "word").join(words, "word").select("bucket", "word", "c", "lp")
+    values = asked_words.select("bucket", "word").join(words, "word").select("bucket", "word", "c", "lp")
+    none = F.lit(None).cast("binary")
+    values = values.withColumns({"keys": none, "lps": none})
+    if across:
+        values = values.unionByName(answered(), allowMissingColumns=True)
     out = rows.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(finish, f"id {id_kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -230,7 +366,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 def op8_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from those whose crc32 of the id mod 7 is not 2."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    found = score(read(spark, sf_dir, "documents"), ~held)
+    found = score(read(spark, sf_dir, "documents"), ~held, across=True)
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
