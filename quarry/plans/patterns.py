@@ -129,6 +129,19 @@ def path_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(e, e.select(F.col("src").alias("start")).distinct()).groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("deepest"))
 
 
+def path_plus_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order that has a next one, how many orders derive from it, over any number of steps."""
+    e = _next_orders(spark, sf_dir).where("dst is not null").select("src", "dst")
+    return reach(e, e.select(F.col("src").alias("start"))).groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("deepest"))
+
+
+def path_bounded_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of up to three steps from every order, with their nodes."""
+    e = _next_orders(spark, sf_dir).where("dst is not null").select("src", "dst")
+    found = bounded_paths(e, e.select(F.col("src").alias("start")).distinct(), 3)
+    return found.select("start", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), "steps")
+
+
 def path_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of up to three steps from the first orders, with their nodes."""
     e = _next_orders(spark, sf_dir).where("dst is not null").select("src", "dst")
@@ -168,4 +181,10 @@ QUERIES = {
         r AS (SELECT src AS start, dst, src || '>' || dst AS nodes, 1 AS steps FROM e WHERE src < 200
               UNION ALL SELECT r.start, e.dst, r.nodes || '>' || e.dst, r.steps + 1 FROM r JOIN e ON r.dst = e.src WHERE r.steps < 3)
         SELECT start, nodes, steps FROM r"""),
+    "path_plus_all": (path_plus_all, """WITH later AS (SELECT o_orderkey AS start, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS n FROM orders)
+        SELECT start, n, n AS deepest FROM later WHERE n > 0"""),
+    "path_bounded_all": (path_bounded_all, f"""WITH RECURSIVE {_NEXT}, e AS (SELECT src, dst FROM nxt WHERE dst IS NOT NULL),
+        r AS (SELECT src AS start, dst, src || '>' || dst AS nodes, 1 AS steps FROM e
+              UNION ALL SELECT r.start, e.dst, r.nodes || '>' || e.dst, r.steps + 1 FROM r JOIN e ON r.dst = e.src WHERE r.steps < 3)
+        SELECT start, nodes, steps FROM r"""),
 }
