@@ -45,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("line_dedup", lines), ("simhash", near), ("suffix_array_dedup", suffixes), ("packing", pack)]
 
-#: No stage of learned scores, byte spans or tokens can be said in SQL; tests compare the stages with brute force.
+#: No stage of learned scores, byte spans or tokens can be said in SQL; tests compare the near-duplicate stage and the other operators with brute force.
 ORACLE_SQL = None
 
 
