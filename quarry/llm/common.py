@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +20,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the cluster names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode (tests) may it be unset."""
+    sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        sc = spark.sparkContext
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "/tmp/checkpoints/quarry"
-        spark.sparkContext.setCheckpointDir(found)
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@cache
+def _session_dir(spark: SparkSession, application: str) -> str:
+    """A folder for this application's tables; what is left in it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/quarry-{application}"
+
+    def leave() -> None:
+        with contextlib.suppress(Exception):  # the context may have been stopped before
+            _delete(spark, path)
+
+    atexit.register(leave)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: cuts the lineage and outlives lost executors.
+
+    Tables that the caller's result still reads stay until the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{_session_dir(spark, spark.sparkContext.applicationId)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.quarry_path = path
@@ -40,15 +67,27 @@ def written(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what written() wrote; only after the last use of it."""
-    spark, path = df.sparkSession, df.quarry_path
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(df.sparkSession, df.quarry_path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def literal_longs(numbers: list[int]) -> Column:
+    """An array<bigint> of the plan's own: one folded literal, where lit() would make a node of each number."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -7,62 +7,66 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, read, settle, text_or_empty, written
+from quarry.llm.common import discard, fresh, literal_longs, read, settle, text_or_empty, written
 
 #: Jaccard similarity times ten of two lines that match: whole numbers keep the bounds exact.
 TENTHS = 8
 #: Counters that the words of the corpus are counted in. Their table goes to every task.
-COUNTERS = 8192
-#: Bits of a word's hash in its key, below its rarity.
-HASH_BITS = 52
-
-
+COUNTERS = 1 << 16
+#: Bits of a word's hash in its key; above them stand 6 of its length and 4 of its rarity.
+HASH_BITS = 53
 #: Of a set's rarest words, those under which it first meets the earliest line.
 LEADS = 2
+#: Words below which two different sets never match: 3 of 4 words are too few.
+LEAST = 4
+#: Bits of the filter of places, at most and for each place.
+FILTER_BITS, BITS_EACH = 1 << 22, 8
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    "
 
 
-def _folded(text: Column) -> Column:
-    """A to Z lower-cased, white space but the line end as blanks: one pass, and a split at a plain blank after it."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    ")
+def _folded(line: Column) -> Column:
+    """A to Z lower-cased, white space but the line end as blanks. Of plain ASCII lower() does the same and costs less."""
+    return F.when(line.rlike("^[\\x20-\\x7e]*$"), F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER))
 
 
 def _words(folded: Column) -> Column:
     return F.array_remove(F.split(folded, " "), "")
 
 
+def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """d, l, line: the lines of every text as they stand, counted from 0."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("l", "line"))
+
+
+def _hashed(w: Column) -> Column:
+    """A word's hash below what it lacks of 63 characters."""
+    size = F.lit(63).cast("bigint") - F.least(F.length(w), F.lit(63)).cast("bigint")
+    return F.shiftleft(size, HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
+
+
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
     """For each counter of words, how far its count is above the middle one, in powers of two: 0 is rare.
 
     Counts all words of all texts. COUNTERS numbers come to the driver.
     """
-    word = docs.select(F.explode(F.split(F.replace(_folded(text_or_empty(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counts = dict(word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("k")).count().collect())
+    lines = docs.select(F.explode(F.split(text_or_empty(text_col), "\n")).alias("line"))
+    word = lines.select(F.explode(F.split(_folded(F.col("line")), " ")).alias("w"))
+    slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - HASH_BITS).bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    counts = dict(word.groupBy(slot.alias("k")).count().collect())
     middle = median([counts.get(k, 0) for k in range(COUNTERS)]) or 1
-    return [max(0, int(counts.get(k, 0) / middle).bit_length() - 1) for k in range(COUNTERS)]
+    return [min(15, max(0, int(counts.get(k, 0) / middle).bit_length() - 1)) for k in range(COUNTERS)]
 
 
 def with_keys(lines: DataFrame, rare: list[int], line_col: str = "line") -> DataFrame:
     """lines with keys: the different words of a line as array<bigint>, rarest first.
 
     The order is one for all lines: rarity of the word's counter, then longer
-    words first, then the hash. Words are told apart by 52 bits of hash, length
-    and rarity.
+    words first, then the hash. Words are told apart by 53 bits of hash and length.
     """
-    table = F.split(F.lit(",".join(map(str, rare))), ",").cast("array<bigint>")
-    top = F.lit((1 << HASH_BITS) - 1)
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        size = F.lit(63).cast("bigint") - F.least(F.length(w), F.lit(63)).cast("bigint")
-        front = F.shiftleft(F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), 6) + size
-        return F.shiftleft(front, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-
-    return lines.withColumn("keys", F.sort_array(F.array_distinct(F.transform(_words(F.col(line_col)), key))))
-
-
-def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """d, l, line: the folded lines of every text, counted from 0."""
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.posexplode(F.split(_folded(text_or_empty(text_col)), "\n")).alias("l", "line"))
+    table = literal_longs(rare)
+    hashed = F.array_distinct(F.transform(_words(_folded(F.col(line_col))), _hashed))
+    return lines.withColumn("keys", F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), HASH_BITS + 6).bitwiseOR(h))))
 
 
 def _overlap(n: Column, m: Column) -> Column:
@@ -73,18 +77,35 @@ def _overlap(n: Column, m: Column) -> Column:
 def _may_match(a: str, b: str) -> Column:
     """Whether b may match the earlier a on their first common word: order, length, position, and words that differ.
 
-    sig holds for each of 64 classes of words whether their number is odd: each
-    class that differs needs a word that only one of the two has.
+    mark holds 32 bits of the word's hash above those that tell of 32 classes of
+    words whether their number is odd: each class that differs needs a word that
+    only one of the two has. Two words may share their 32 bits: what matches is
+    compared word by word later on.
     """
     A, B = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     n, m = A("n"), B("n")
     earlier = (A("d") < B("d")) | ((A("d") == B("d")) & (A("l") < B("l")))
     length = (10 * n >= TENTHS * m) & (10 * m >= TENTHS * n)
     position = F.least(n - A("pos"), m - B("pos")) >= _overlap(n, m)
-    differ = F.bit_count(A("sig").bitwiseXOR(B("sig"))) * (10 + TENTHS) <= (10 - TENTHS) * (n + m)
+    differ = F.bit_count(A("mark").bitwiseXOR(B("mark")).bitwiseAND(F.lit((1 << 32) - 1))) * (10 + TENTHS) <= (10 - TENTHS) * (n + m)
     return earlier & length & differ & position
 
 
+def _slots(d: Column, l: Column, bits: int) -> Column:
+    return F.xxhash64(d, l).bitwiseAND(F.lit(bits - 1))
+
+
+def _filter_of(places: DataFrame) -> tuple[int, Column]:
+    """A bitmap of the places d, l, sized by their number up to FILTER_BITS; beyond that it lets more through, which costs time, not results."""
+    bits = 64
+    most = min(FILTER_BITS, BITS_EACH * places.count())
+    while bits < most:
+        bits *= 2
+    slot = _slots(F.col("d"), F.col("l"), bits)
+    words = dict(places.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).collect())
+    return bits, literal_longs([words.get(w, 0) for w in range(bits // 64)])
+
+
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """d, l of all lines that match an earlier line: Jaccard similarity of their word sets 0.8 or more.
 
@@ -97,63 +118,83 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Lines with equal sets are one set, at its first place. A set of n words is
     met under its n - ceil(0.8 n) + 1 rarest words by all others, but first, under
     a few of them, by the earliest line there: most of a large group of variants
-    is settled by that, and need not meet the others.
+    is settled by that, and need not meet the others. Only lines that may match
+    are read again, for their words.
     """
     spark = docs.sparkSession
     lines = with_keys(split_lines(docs, id_col, text_col), rarity(docs, text_col))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * TENTHS / 10).cast("int") + 1)
-    parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(31)).cast("int"))))
+    marks = F.transform(prefix, lambda k: F.shiftleft(k, 32))  # the low half of the hash
     # lines without words are left out after the write: a filter before it would compute the keys twice
-    full = written(lines.select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), prefix.alias("prefix")))
+    full = written(lines.select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), marks.alias("prefix")))
     slim = full.where(F.col("n") >= max(1, min_words))
     settle(spark)
     sets = written(slim.groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")))
     places = written(slim.select("d", "l", "s1", "s2"))
     discard(full)
     settle(spark)
-    met = sets.select("at.d", "at.l", "n", "sig", F.posexplode(F.slice("prefix", 1, LEADS)).alias("pos", "key"))
-    lead = met.groupBy("key").agg(F.min(F.struct("d", "l", "n", "sig", "pos")).alias("first")).select("key", "first.*")
+    enough = sets.where(F.col("n") >= LEAST)
+    mark = F.col("word").bitwiseOR(F.col("sig")).alias("mark")
+    met = enough.select("at.d", "at.l", "n", "sig", F.posexplode(F.slice("prefix", 1, LEADS)).alias("pos", "word")).select("d", "l", "n", "pos", mark)
+    word = lambda c: F.shiftright(c, 32)
+    lead = met.groupBy(word(F.col("mark")).alias("key")).agg(F.min(F.struct("d", "l", "n", "mark", "pos")).alias("first")).select("key", "first.*")
     ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al")]
-    same = F.col("a.key") == F.col("b.key")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """d, l of the pairs' lines whose sets do match."""
         pairs = written(pairs.distinct())
-        wanted = pairs.select("d", "l").unionByName(pairs.select(F.col("ad").alias("d"), F.col("al").alias("l"))).distinct()
-        some = split_lines(docs.select(id_col, text_col).join(wanted.select(F.col("d").alias(id_col)).distinct(), id_col, "left_semi"), id_col, text_col).join(wanted, ["d", "l"], "left_semi")
-        sets_ = written(some.select("d", "l", F.array_distinct(_words(F.col("line"))).alias("set")).dropDuplicates(["d", "l"]))
+        settle(spark)
+        wanted = written(pairs.select("d", "l").unionByName(pairs.select(F.col("ad").alias("d"), F.col("al").alias("l"))).distinct())
+        bits, table = _filter_of(wanted)
+        slot = _slots(F.col("d"), F.col("l"), bits)
+        there = F.call_function("shiftright", F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        perhaps = split_lines(docs.select(id_col, text_col), id_col, text_col).where(there)
+        some = perhaps.join(wanted, ["d", "l"], "left_semi").dropDuplicates(["d", "l"])
+        sets_ = written(some.select("d", "l", F.array_distinct(_words(_folded(F.col("line")))).alias("set")))
         settle(spark)
         a, b = sets_.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("set").alias("a_set")), sets_.withColumnRenamed("set", "b_set")
         both = F.size(F.array_intersect("a_set", "b_set"))
         out = written(pairs.join(a, ["ad", "al"]).join(b, ["d", "l"]).where(both >= _overlap(F.size("a_set"), F.size("b_set"))).select("d", "l").distinct())
-        discard(pairs)
-        discard(sets_)
+        for t in (pairs, wanted, sets_):
+            discard(t)
         settle(spark)
         return out
 
-    settled = verified(met.alias("b").join(lead.alias("a"), same & _may_match("a", "b")).select(*ends))
-    # the same rows on both sides of the join, so that one shuffle serves both
+    settled = verified(met.alias("b").join(lead.alias("a"), (F.col("a.key") == word(F.col("b.mark"))) & _may_match("a", "b")).select(*ends))
     known = settled.join(places, ["d", "l"]).select("s1", "s2", F.lit(True).alias("settled"))
-    all_ = sets.join(known.dropDuplicates(["s1", "s2"]), ["s1", "s2"], "left").select("at.d", "at.l", "n", "sig", F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "key"))
-    more = verified(all_.alias("b").join(all_.alias("a"), same & F.col("b.open") & _may_match("a", "b")).select(*ends))
+    # the same rows on both sides of the join, so that one shuffle serves both; the sign of pos tells whether a set is settled
+    all_ = written(enough.join(known.dropDuplicates(["s1", "s2"]), ["s1", "s2"], "left").select("at.d", "at.l", "n", "sig", F.coalesce("settled", F.lit(False)).alias("settled"), "prefix"))
+    settle(spark)
+    each = all_.select("d", "l", "n", "sig", "settled", F.posexplode("prefix").alias("pos", "word")).select("d", "l", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n")).alias("n_open"), "pos", mark)
+    side = lambda t: each.select("d", "l", F.abs("n_open").alias("n"), (F.col("n_open") > 0).alias("open"), "pos", "mark").alias(t)
+    more = verified(side("b").join(side("a"), (word(F.col("a.mark")) == word(F.col("b.mark"))) & F.col("b.open") & _may_match("a", "b")).select(*ends))
+    discard(all_)
     # lines after the first with an equal set match it; a first line may match one with another set
     later = places.join(sets.select("s1", "s2", "at"), ["s1", "s2"]).where((F.col("d") > F.col("at.d")) | ((F.col("d") == F.col("at.d")) & (F.col("l") > F.col("at.l")))).select("d", "l")
-    return later.unionByName(settled).unionByName(more)
+    out = written(later.unionByName(settled).unionByName(more))
+    for t in (sets, places, settled, more):
+        discard(t)
+    settle(spark)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """docs with the lines gone that match an earlier line; every row stays, and all other columns.
 
     A row that loses lines has the rest joined by line ends; n_removed tells how
-    many. A text that loses all is empty. A null text stays null.
+    many (a column of docs with that name gives way). A text that loses all is
+    empty. A null text stays null, and so does the text of a row without an id.
     """
-    gone = later_matches(docs, id_col, text_col, min_words).groupBy(F.col("d").alias("_d")).agg(F.collect_set("l").alias("_gone"))
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, F.col(id_col) == F.col("_d"), "left")
-    left = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*left, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    d, gone, split, n = fresh(docs, "d"), fresh(docs, "gone"), fresh(docs, "split"), "n_removed"
+    found = later_matches(docs, id_col, text_col, min_words).groupBy(F.col("d").alias(d)).agg(F.collect_set("l").alias(gone))
+    # a projection of its own, so that a text is split once and not once for each line
+    joined = docs.join(found, F.col(id_col) == F.col(d), "left").select(*docs.columns, gone, F.when(F.col(gone).isNotNull(), F.split(text_col, "\n")).alias(split))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    left = [F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() != n]
+    return joined.select(*left, F.coalesce(F.size(gone), F.lit(0)).alias(n))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
