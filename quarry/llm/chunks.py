@@ -30,6 +30,12 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         cut = end
 
 
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """slices() of an array of texts."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+        yield part.column(0)
+
+
 class PieceEncoder:
     """ids of texts, from the ids of their pieces.
 
