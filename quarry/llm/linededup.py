@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import median
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from quarry.llm.common import discard, fresh, literal_longs, read, settle, text_
 
 #: Jaccard similarity times ten of two lines that match: whole numbers keep the bounds exact.
 TENTHS = 8
-#: Counters that the words of the corpus are counted in. Their table goes to every task.
-COUNTERS = 1 << 16
+#: Counters that the words of the corpus are counted in. What they tell, 4 bits each, goes to every task.
+COUNTERS = 1 << 18
 #: Bits of a word's hash in its key; above them stand 6 of its length and 4 of its rarity.
 HASH_BITS = 53
 #: Of a set's rarest words, those under which it first meets the earliest line.
@@ -48,7 +49,7 @@ def _hashed(w: Column) -> Column:
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
     """For each counter of words, how far its count is above the middle one, in powers of two: 0 is rare.
 
-    Counts all words of all texts. COUNTERS numbers come to the driver.
+    At most 15. Counts all words of all texts. COUNTERS numbers come to the driver.
     """
     lines = docs.select(F.explode(F.split(text_or_empty(text_col), "\n")).alias("line"))
     word = lines.select(F.explode(F.split(_folded(F.col("line")), " ")).alias("w"))
@@ -64,9 +65,15 @@ def with_keys(lines: DataFrame, rare: list[int], line_col: str = "line") -> Data
     The order is one for all lines: rarity of the word's counter, then longer
     words first, then the hash. Words are told apart by 53 bits of hash and length.
     """
-    table = literal_longs(rare)
+    table = literal_longs(np.array(rare, dtype=np.int64).reshape(-1, 16) @ (1 << 4 * np.arange(16, dtype=np.int64)))
     hashed = F.array_distinct(F.transform(_words(_folded(F.col(line_col))), _hashed))
-    return lines.withColumn("keys", F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), HASH_BITS + 6).bitwiseOR(h))))
+
+    def key(h: Column) -> Column:
+        sixteen = F.get(table, F.shiftright(h.bitwiseAND(F.lit(COUNTERS - 1)), 4).cast("int"))
+        at = F.shiftleft(h.bitwiseAND(F.lit(15)), 2).cast("int")
+        return F.shiftleft(F.call_function("shiftright", sixteen, at).bitwiseAND(F.lit(15)), HASH_BITS + 6).bitwiseOR(h)
+
+    return lines.withColumn("keys", F.sort_array(F.transform(hashed, key)))
 
 
 def _overlap(n: Column, m: Column) -> Column:
@@ -77,18 +84,20 @@ def _overlap(n: Column, m: Column) -> Column:
 def _may_match(a: str, b: str) -> Column:
     """Whether b may match the earlier a on their first common word: order, length, position, and words that differ.
 
-    mark holds 32 bits of the word's hash above those that tell of 32 classes of
-    words whether their number is odd: each class that differs needs a word that
-    only one of the two has. Two words may share their 32 bits: what matches is
-    compared word by word later on.
+    size holds how many words a set has, above 32 bits of the word's place in
+    it; it is negative where the set needs no match any more, which b then fails.
+    sig holds for each of 64 classes of words whether their number is odd: each
+    class that differs needs a word that only one of the two has. All conditions
+    are on both sides, so that a table joined with itself is shuffled once.
     """
     A, B = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    n, m = A("n"), B("n")
+    n, m = F.abs(F.shiftright(A("size"), 32)), F.shiftright(B("size"), 32)
+    pos = lambda c: c("size").bitwiseAND(F.lit((1 << 32) - 1))
     earlier = (A("d") < B("d")) | ((A("d") == B("d")) & (A("l") < B("l")))
     length = (10 * n >= TENTHS * m) & (10 * m >= TENTHS * n)
-    position = F.least(n - A("pos"), m - B("pos")) >= _overlap(n, m)
-    differ = F.bit_count(A("mark").bitwiseXOR(B("mark")).bitwiseAND(F.lit((1 << 32) - 1))) * (10 + TENTHS) <= (10 - TENTHS) * (n + m)
-    return earlier & length & differ & position
+    position = F.least(n - pos(A), m - pos(B)) >= _overlap(n, m)
+    differ = F.bit_count(A("sig").bitwiseXOR(B("sig"))) * (10 + TENTHS) <= (10 - TENTHS) * (n + m)
+    return length & differ & position & earlier
 
 
 def _slots(d: Column, l: Column, bits: int) -> Column:
@@ -125,10 +134,11 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = with_keys(split_lines(docs, id_col, text_col), rarity(docs, text_col))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * TENTHS / 10).cast("int") + 1)
-    parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(31)).cast("int"))))
-    marks = F.transform(prefix, lambda k: F.shiftleft(k, 32))  # the low half of the hash
+    parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    # 32 bits of a word bring lines together; what meets is compared word by word later on
+    short = F.transform(prefix, lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
     # lines without words are left out after the write: a filter before it would compute the keys twice
-    full = written(lines.select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), marks.alias("prefix")))
+    full = written(lines.select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), short.alias("prefix")))
     slim = full.where(F.col("n") >= max(1, min_words))
     settle(spark)
     sets = written(slim.groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")))
@@ -136,11 +146,15 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(full)
     settle(spark)
     enough = sets.where(F.col("n") >= LEAST)
-    mark = F.col("word").bitwiseOR(F.col("sig")).alias("mark")
-    met = enough.select("at.d", "at.l", "n", "sig", F.posexplode(F.slice("prefix", 1, LEADS)).alias("pos", "word")).select("d", "l", "n", "pos", mark)
-    word = lambda c: F.shiftright(c, 32)
-    lead = met.groupBy(word(F.col("mark")).alias("key")).agg(F.min(F.struct("d", "l", "n", "mark", "pos")).alias("first")).select("key", "first.*")
+
+    def by_word(table: DataFrame, words: Column, n: Column) -> DataFrame:
+        found = table.select("d", "l", n.cast("long").alias("n"), "sig", F.posexplode(words).alias("pos", "word"))
+        return found.select("word", "d", "l", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("size"), "sig")
+
+    met = by_word(enough.select("at.*", "n", "sig", "prefix"), F.slice("prefix", 1, LEADS), F.col("n"))
+    lead = met.groupBy("word").agg(F.min(F.struct("d", "l", "size", "sig")).alias("first")).select("word", "first.*")
     ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al")]
+    same = F.col("a.word") == F.col("b.word")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """d, l of the pairs' lines whose sets do match."""
@@ -162,22 +176,18 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         settle(spark)
         return out
 
-    settled = verified(met.alias("b").join(lead.alias("a"), (F.col("a.key") == word(F.col("b.mark"))) & _may_match("a", "b")).select(*ends))
-    known = settled.join(places, ["d", "l"]).select("s1", "s2", F.lit(True).alias("settled"))
-    # the same rows on both sides of the join, so that one shuffle serves both; the sign of pos tells whether a set is settled
-    all_ = written(enough.join(known.dropDuplicates(["s1", "s2"]), ["s1", "s2"], "left").select("at.d", "at.l", "n", "sig", F.coalesce("settled", F.lit(False)).alias("settled"), "prefix"))
-    settle(spark)
-    each = all_.select("d", "l", "n", "sig", "settled", F.posexplode("prefix").alias("pos", "word")).select("d", "l", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n")).alias("n_open"), "pos", mark)
-    side = lambda t: each.select("d", "l", F.abs("n_open").alias("n"), (F.col("n_open") > 0).alias("open"), "pos", "mark").alias(t)
-    more = verified(side("b").join(side("a"), (word(F.col("a.mark")) == word(F.col("b.mark"))) & F.col("b.open") & _may_match("a", "b")).select(*ends))
-    discard(all_)
+    settled = verified(met.alias("b").join(lead.alias("a"), same & _may_match("a", "b")).select(*ends))
+    known = settled.join(places, ["d", "l"]).select("s1", "s2", F.lit(True).alias("settled")).dropDuplicates(["s1", "s2"])
+    rest = written(enough.join(known, ["s1", "s2"], "left").select("at.*", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n")).alias("n"), "sig", "prefix"))
     # lines after the first with an equal set match it; a first line may match one with another set
-    later = places.join(sets.select("s1", "s2", "at"), ["s1", "s2"]).where((F.col("d") > F.col("at.d")) | ((F.col("d") == F.col("at.d")) & (F.col("l") > F.col("at.l")))).select("d", "l")
-    out = written(later.unionByName(settled).unionByName(more))
-    for t in (sets, places, settled, more):
+    later = written(places.join(sets.select("s1", "s2", "at"), ["s1", "s2"]).where((F.col("d") > F.col("at.d")) | ((F.col("d") == F.col("at.d")) & (F.col("l") > F.col("at.l")))).select("d", "l"))
+    for t in (sets, places):
         discard(t)
     settle(spark)
-    return out
+    each = by_word(rest, F.col("prefix"), F.col("n"))
+    more = verified(each.alias("b").join(each.alias("a"), same & _may_match("a", "b")).select(*ends))
+    discard(rest)
+    return later.unionByName(settled).unionByName(more)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
