@@ -14,8 +14,6 @@ from quarry.llm.common import discard, fresh, literal_longs, read, settle, text_
 TENTHS = 8
 #: Counters that the words of the corpus are counted in. What they tell, 4 bits each, goes to every task.
 COUNTERS = 1 << 18
-#: Bits of a word's hash in its key; above them stand 6 of its length and 4 of its rarity.
-HASH_BITS = 53
 #: Of a set's rarest words, those under which it first meets the earliest line.
 LEADS = 2
 #: Words below which two different sets never match: 3 of 4 words are too few.
@@ -40,40 +38,37 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("l", "line"))
 
 
-def _hashed(w: Column) -> Column:
-    """A word's hash below what it lacks of 63 characters."""
-    size = F.lit(63).cast("bigint") - F.least(F.length(w), F.lit(63)).cast("bigint")
-    return F.shiftleft(size, HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
+def with_words(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """lines with words: 64-bit hashes of the different words of a line, which tell words apart."""
+    return lines.withColumn("words", F.array_distinct(F.transform(_words(_folded(F.col(line_col))), lambda w: F.xxhash64(w))))
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """For each counter of words, how far its count is above the middle one, in powers of two: 0 is rare.
+def _short(words: Column) -> Column:
+    """32 bits of each word, as numbers: they bring lines together; what meets is compared in full later on."""
+    return F.transform(words, lambda w: F.shiftright(w, 32).cast("int"))
 
-    At most 15. Counts all words of all texts. COUNTERS numbers come to the driver.
+
+def rarity(shorts: DataFrame) -> list[int]:
+    """For each counter of words, how far its count is above the middle one, in powers of two: 0 is rare, 15 the most.
+
+    Counts the lines that words are in, over all lines. COUNTERS numbers come to the driver.
     """
-    lines = docs.select(F.explode(F.split(text_or_empty(text_col), "\n")).alias("line"))
-    word = lines.select(F.explode(F.split(_folded(F.col("line")), " ")).alias("w"))
-    slot = F.shiftrightunsigned(F.xxhash64("w"), 64 - HASH_BITS).bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
-    counts = dict(word.groupBy(slot.alias("k")).count().collect())
+    slot = F.col("w").bitwiseAND(F.lit(COUNTERS - 1))
+    counts = dict(shorts.select(F.explode("shorts").alias("w")).groupBy(slot.alias("k")).count().collect())
     middle = median([counts.get(k, 0) for k in range(COUNTERS)]) or 1
     return [min(15, max(0, int(counts.get(k, 0) / middle).bit_length() - 1)) for k in range(COUNTERS)]
 
 
-def with_keys(lines: DataFrame, rare: list[int], line_col: str = "line") -> DataFrame:
-    """lines with keys: the different words of a line as array<bigint>, rarest first.
+def by_rarity(shorts: Column, rare: list[int]) -> Column:
+    """The words, rarest first: an order that is one for all lines, by the rarity of the word's counter and then by hash."""
+    table = literal_longs(np.array(rare, dtype=np.int64).reshape(-1, 16) @ (1 << 4 * np.arange(16, dtype=np.int64)))  # 4 bits each
 
-    The order is one for all lines: rarity of the word's counter, then longer
-    words first, then the hash. Words are told apart by 53 bits of hash and length.
-    """
-    table = literal_longs(np.array(rare, dtype=np.int64).reshape(-1, 16) @ (1 << 4 * np.arange(16, dtype=np.int64)))
-    hashed = F.array_distinct(F.transform(_words(_folded(F.col(line_col))), _hashed))
+    def key(w: Column) -> Column:
+        sixteen = F.get(table, F.shiftright(w.bitwiseAND(F.lit(COUNTERS - 1)), 4))
+        of = F.call_function("shiftright", sixteen, F.shiftleft(w.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(15))
+        return F.shiftleft(of, 32).bitwiseOR(w.cast("bigint").bitwiseAND(F.lit((1 << 32) - 1)))
 
-    def key(h: Column) -> Column:
-        sixteen = F.get(table, F.shiftright(h.bitwiseAND(F.lit(COUNTERS - 1)), 4).cast("int"))
-        at = F.shiftleft(h.bitwiseAND(F.lit(15)), 2).cast("int")
-        return F.shiftleft(F.call_function("shiftright", sixteen, at).bitwiseAND(F.lit(15)), HASH_BITS + 6).bitwiseOR(h)
-
-    return lines.withColumn("keys", F.sort_array(F.transform(hashed, key)))
+    return F.transform(F.sort_array(F.transform(shorts, key)), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
 
 
 def _overlap(n: Column, m: Column) -> Column:
@@ -131,17 +126,15 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are read again, for their words.
     """
     spark = docs.sparkSession
-    lines = with_keys(split_lines(docs, id_col, text_col), rarity(docs, text_col))
-    n = F.size("keys")
-    prefix = F.slice("keys", 1, n - F.ceil(n * TENTHS / 10).cast("int") + 1)
-    parity = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    # 32 bits of a word bring lines together; what meets is compared word by word later on
-    short = F.transform(prefix, lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
-    # lines without words are left out after the write: a filter before it would compute the keys twice
-    full = written(lines.select("d", "l", n.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), parity.alias("sig"), short.alias("prefix")))
+    lines = with_words(split_lines(docs, id_col, text_col))
+    parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    ordered = F.sort_array("words")
+    # lines without words are left out after the write: a filter before it would compute the words twice
+    full = written(lines.select("d", "l", F.size("words").alias("n"), F.xxhash64(ordered).alias("s1"), F.xxhash64(F.lit(1), ordered).alias("s2"), parity.alias("sig"), _short(F.col("words")).alias("shorts")))
+    rare = rarity(full)
     slim = full.where(F.col("n") >= max(1, min_words))
-    settle(spark)
-    sets = written(slim.groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")))
+    prefix = F.slice(by_rarity(F.col("shorts"), rare), 1, F.col("n") - F.ceil(F.col("n") * TENTHS / 10).cast("int") + 1)
+    sets = written(slim.withColumn("prefix", prefix).groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")))
     places = written(slim.select("d", "l", "s1", "s2"))
     discard(full)
     settle(spark)
@@ -166,7 +159,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         there = F.call_function("shiftright", F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
         perhaps = split_lines(docs.select(id_col, text_col), id_col, text_col).where(there)
         some = perhaps.join(wanted, ["d", "l"], "left_semi").dropDuplicates(["d", "l"])
-        sets_ = written(some.select("d", "l", F.array_distinct(_words(_folded(F.col("line")))).alias("set")))
+        sets_ = written(with_words(some).select("d", "l", F.col("words").alias("set")))
         settle(spark)
         a, b = sets_.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("set").alias("a_set")), sets_.withColumnRenamed("set", "b_set")
         both = F.size(F.array_intersect("a_set", "b_set"))
