@@ -146,11 +146,11 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     met = by_word(enough.select("at.*", "n", "sig", "prefix"), F.slice("prefix", 1, LEADS), F.col("n"))
     lead = met.groupBy("word").agg(F.min(F.struct("d", "l", "size", "sig")).alias("first")).select("word", "first.*")
-    ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al")]
+    ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))).alias("differ")]
     same = F.col("a.word") == F.col("b.word")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """d, l of the pairs' lines whose sets do match."""
+        """d, l of the pairs' lines whose sets do match. A line meets the likeliest of its candidates first, all others only if that fails."""
         pairs = written(pairs.distinct())
         settle(spark)
         wanted = written(pairs.select("d", "l").unionByName(pairs.select(F.col("ad").alias("d"), F.col("al").alias("l"))).distinct())
@@ -163,11 +163,18 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         settle(spark)
         a, b = sets_.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("set").alias("a_set")), sets_.withColumnRenamed("set", "b_set")
         both = F.size(F.array_intersect("a_set", "b_set"))
-        out = written(pairs.join(a, ["ad", "al"]).join(b, ["d", "l"]).where(both >= _overlap(F.size("a_set"), F.size("b_set"))).select("d", "l").distinct())
-        for t in (pairs, wanted, sets_):
+
+        def matching(some: DataFrame) -> DataFrame:
+            return written(some.join(a, ["ad", "al"]).join(b, ["d", "l"]).where(both >= _overlap(F.size("a_set"), F.size("b_set"))).select("d", "l").distinct())
+
+        first = written(pairs.groupBy("d", "l").agg(F.min(F.struct("differ", "ad", "al")).alias("best")).select("d", "l", "best.ad", "best.al"))
+        at_once = matching(first)
+        settle(spark)
+        later = matching(pairs.join(at_once, ["d", "l"], "left_anti").join(first, ["d", "l", "ad", "al"], "left_anti"))
+        for t in (pairs, wanted, sets_, first):
             discard(t)
         settle(spark)
-        return out
+        return at_once.unionByName(later)
 
     settled = verified(met.alias("b").join(lead.alias("a"), same & _may_match("a", "b")).select(*ends))
     known = settled.join(places, ["d", "l"]).select("s1", "s2", F.lit(True).alias("settled")).dropDuplicates(["s1", "s2"])
