@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, read, settle, text_or_empty, written
+from quarry.llm.common import discard, fresh, read, settle, text_or_empty, written
 from quarry.llm.suffix import suffix_array
 
 #: Bytes of a string that must not repeat, and of the grams that choose its shard.
 LENGTH, GRAM = 100, 24
-#: Bits of the filter that tells which grams repeat. Its size is fixed; a full filter costs time, not results.
-FILTER_BITS = 25
+#: Bits of the filter that tells which grams repeat: so many for each, up to a most (32 MB). A full filter costs time, not results.
+FILTER_EACH, FILTER_MOST = 16, 1 << 28
 #: Bytes of a shard that are sorted at a time; contexts of one gram beyond which its windows are grouped instead.
-SHARD_BYTES, CROWD = 3_000_000, 20_000
+SHARD_BYTES, CROWD = 1_000_000, 4_000
 #: Bytes of a text that anchors are looked for at a time.
 BLOCK = 1 << 19
 
@@ -84,7 +84,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, keep: np.ndarray | Non
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8) if len(text.as_py()) >= length // 4 else np.zeros(0, np.uint8)
                 for h, c, lo, many in anchors(data):
                     if bits is not None:
-                        slot = h & np.uint64((1 << FILTER_BITS) - 1)
+                        slot = h & np.uint64(64 * len(bits) - 1)
                         ok = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
                         h, c, lo, many = h[ok], c[ok], lo[ok], many[ok]
                     held.append((h, c, np.full(len(h), ids[i]), lo, many) if full else (h,))
@@ -99,10 +99,13 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, keep: np.ndarray | Non
 
 
 def _filter_of(repeated: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the hashes in repeated (column h)."""
-    slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    """A bitmap of the hashes in repeated (column h, a written table), sized by their number."""
+    size, most = 1 << 12, min(FILTER_MOST, FILTER_EACH * repeated.count())
+    while size < most:
+        size *= 2
+    slot = F.col("h").bitwiseAND(F.lit(size - 1))
     words = repeated.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    bits = np.zeros(size // 64, dtype=np.uint64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return bits
 
@@ -116,8 +119,8 @@ def shard_repeats(contexts: list[bytes], many: np.ndarray, length: int) -> list[
     size = np.array([len(c) for c in contexts])
     text = np.insert(np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.uint16) + 1, np.cumsum(size), 0)
     start = np.cumsum(size + 1) - size - 1
-    of = np.repeat(np.arange(len(contexts)), size + 1)
-    place = np.arange(len(text)) - start[of]
+    of = np.repeat(np.arange(len(contexts), dtype=np.int32), size + 1)
+    place = np.arange(len(text), dtype=np.int32) - start.astype(np.int32)[of]
     order = suffix_array(text, length)
     order = order[place[order] < many[of[order]]]  # strings that lie in their context
     same = np.ones(max(0, len(order) - 1), dtype=bool)
@@ -175,10 +178,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), text_or_empty(text_col).alias("text"))
     copies = whole.groupBy(F.sha2("text", 256).alias("s")).agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = written(whole.select("d", F.sha2("text", 256).alias("s"), F.octet_length("text").cast("long").alias("bytes")).join(copies, "s").where("d > first").select("d", "bytes"))
-    alone = whole.join(copies.select("d").distinct(), "d", "left_anti")
-    seen = _anchor_rows(alone, length, gram, None, False).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = written(whole.select("d", F.sha2("text", 256).alias("s"), F.octet_length("text").cast("long").alias("bytes")).join(copies, "s").where("d > first").select("d", "s", "bytes"))
+    alone = whole.withColumn("s", F.sha2("text", 256)).join(copies.select("d", "s").distinct(), ["d", "s"], "left_anti").select("d", "text")
+    seen = written(_anchor_rows(alone, length, gram, None, False).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     keep = _filter_of(seen)
+    discard(seen)
     settle(docs.sparkSession)
     contexts = written(_anchor_rows(alone, length, gram, keep, True))
     settle(docs.sparkSession)
@@ -209,42 +213,54 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out
 
 
+_OUT = "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
+
+
+def _without(whole_chars: bool):
+    """A function of a text and its spans: what is left of the text's bytes, and counts."""
+
+    @F.arrow_udf(_OUT)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans_of in batches:
+            out = []
+            for text, spans in zip(texts.cast(pa.binary()), spans_of):
+                text, kept, end, runs, gone = text.as_py(), [], 0, 0, 0
+                for span in spans.as_py() or ():
+                    low, high = span["low"], min(span["high"], len(text))
+                    if whole_chars:
+                        while low < high and text[low] & 0xC0 == 0x80:
+                            low += 1
+                        while low < high < len(text) and text[high] & 0xC0 == 0x80:
+                            high -= 1
+                    if high <= low:
+                        continue
+                    if low > end or not runs:
+                        kept.append(text[end:low])
+                        runs += 1
+                        gone += high - low
+                        end = high
+                    elif high > end:
+                        gone += high - end
+                        end = high
+                out.append((b"".join([*kept, text[end:]]), len(text), gone, runs))
+            kept, *counts = zip(*out) if out else ((), (), (), ())
+            yield pa.StructArray.from_arrays([pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], ["kept", "n_bytes", "n_removed", "n_spans"])
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, whole_chars: bool = False) -> DataFrame:
     """docs, and kept binary: the bytes of each text outside its repeated spans; n_bytes, n_removed, n_spans long.
 
-    A null text is an empty one. Every row stays, with all its columns. With
-    whole_chars a span that begins or ends inside a character leaves it whole.
+    A null text is an empty one. Every row stays, with all its columns, but for
+    those of the four names, which give way. Rows that repeat an id share their
+    spans. With whole_chars a span that begins or ends inside a character leaves
+    it whole.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram).groupBy("d").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("_d"), text_or_empty(text_col).alias("text")).join(spans.withColumnRenamed("d", "_d"), "_d", "left").select("doc", "text", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = []
-                for text, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist()):
-                    kept, end, runs, gone = [], 0, 0, 0
-                    for span in spans or ():
-                        low, high = span["low"], span["high"]
-                        if whole_chars:
-                            while low < high and text[low] & 0xC0 == 0x80:
-                                low += 1
-                            while low < high < len(text) and text[high] & 0xC0 == 0x80:
-                                high -= 1
-                        if low > end or not runs:
-                            kept.append(text[end:low])
-                            runs += 1
-                            gone += high - low
-                            end = high
-                        elif high > end:
-                            gone += high - end
-                            end = high
-                    out.append((b"".join([*kept, text[end:]]), len(text), gone, runs))
-                cols = zip(*out)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), *(pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64())))], ["doc", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return rows.mapInArrow(run, f"doc {docs.select(F.struct(*docs.columns).alias('doc')).schema['doc'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long").select("doc.*", "kept", "n_bytes", "n_removed", "n_spans")
+    d, found, out = fresh(docs, "d"), fresh(docs, "spans"), fresh(docs, "out")
+    spans = repeated_spans(docs, id_col, text_col, length, gram).groupBy(F.col("d").alias(d)).agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias(found))
+    rows = docs.join(spans, F.col(id_col).cast("long") == F.col(d), "left").withColumn(out, _without(whole_chars)(text_or_empty(text_col), F.col(found)))
+    return rows.select(*[c for c in docs.columns if c.lower() not in ("kept", "n_bytes", "n_removed", "n_spans")], f"{out}.*")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ import tempfile
 import numpy as np
 
 
+#: Suffixes that a queue holds in memory; a shard has more, so the rest waits on disk.
+QUEUE = 200_000
+
+
 class Buckets:
     """A priority queue of suffixes by first symbol, first in first out among equals.
 
@@ -15,7 +19,7 @@ class Buckets:
     file of the task's own temporary folder.
     """
 
-    def __init__(self, limit: int = 8_000_000):
+    def __init__(self, limit: int = QUEUE):
         self.limit, self.held, self.kept, self.file = limit, 0, {}, None
 
     def push(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
@@ -71,7 +75,7 @@ def _induce(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, limit: int) -> n
     seed_of = Buckets(limit)
     seed_of.push(text[seeds], seeds)
     larger = Buckets(limit)  # L suffixes, smallest first
-    larger.push(text[-1:], np.array([len(text) - 1]))  # nothing stands behind the last: it is L and comes first
+    larger.push(text[-1:], np.array([len(text) - 1], dtype=np.int32))  # nothing stands behind the last: it is L and comes first
     l_order: dict[int, np.ndarray] = {}
     for symbol in symbols:
         got = []
@@ -81,7 +85,7 @@ def _induce(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, limit: int) -> n
             before = wave[wave > 0] - 1
             before = before[~s[before]]
             larger.push(text[before], before)
-        l_order[symbol] = np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
+        l_order[symbol] = np.concatenate(got) if got else np.zeros(0, dtype=np.int32)
         if parts := seed_of.pop(symbol):
             before = np.concatenate(parts)
             before = before[before > 0] - 1
@@ -108,7 +112,19 @@ def _induce(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, limit: int) -> n
     return np.concatenate(out)[::-1]
 
 
-def suffix_array(text: np.ndarray, depth: int, limit: int = 8_000_000) -> np.ndarray:
+def _names(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Names of the strings that begin at places at, in sorted order: equal neighbours share one. Compared symbol by symbol."""
+    same = size[1:] == size[:-1]
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        equal = text[at[1:][live] + k] == text[at[:-1][live] + k]
+        same[live[~equal]] = False
+        live, k = live[equal], k + 1
+        live = live[size[live] > k]
+    return np.cumsum(np.r_[0, ~same])
+
+
+def suffix_array(text: np.ndarray, depth: int, limit: int = QUEUE) -> np.ndarray:
     """The suffixes of text (whole numbers from 0), sorted by depth symbols at least.
 
     Leftmost S suffixes are sorted by what stands between them, named, and their
@@ -119,27 +135,18 @@ def suffix_array(text: np.ndarray, depth: int, limit: int = 8_000_000) -> np.nda
     if n < 2:
         return np.arange(n)
     s = _is_s(text)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = np.flatnonzero(s[1:] & ~s[:-1]).astype(np.int32) + 1
     if not len(lms):
         return _induce(text, s, lms, limit)
     order = _induce(text, s, lms, limit)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     by = order[is_lms[order]]  # sorted up to and with the next leftmost S suffix
-    size = np.diff(np.r_[lms, n - 1]) + 1
-    rng = np.random.default_rng(1)
-    value = rng.integers(1, 2**63, int(text.max()) + 1, dtype=np.uint64) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(0x9E3779B97F4A7C15))])
-        inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))])
-        total = np.r_[np.uint64(0), np.cumsum(value[text] * power[:n])]
-        mark = (total[lms + size] - total[lms]) * inverse[lms]
-    at = np.empty(n, dtype=np.int64)
-    at[lms] = np.arange(len(lms))
+    at = np.empty(n, dtype=np.int32)
+    at[lms] = np.arange(len(lms), dtype=np.int32)
     k = at[by]
-    new = np.r_[True, (mark[k[1:]] != mark[k[:-1]]) | (size[k[1:]] != size[k[:-1]])]
     rank = np.empty(len(lms), dtype=np.int64)
-    rank[k] = np.cumsum(new) - 1
+    rank[k] = _names(text, by, (np.diff(np.r_[lms, n - 1]) + 1)[k])
     step = 1
     while rank.max() + 1 < len(lms) and step < depth:
         second = np.r_[rank[step:] + 1, np.zeros(min(step, len(rank)), dtype=np.int64)]
