@@ -16,6 +16,8 @@ TENTHS = 8
 COUNTERS = 1 << 18
 #: Of a set's rarest words, those under which it first meets the earliest line.
 LEADS = 2
+#: Times 64 classes of words by which candidates are told apart before their words travel; a power of two.
+PARITIES = 4
 #: Words below which two different sets never match: 3 of 4 words are too few.
 LEAST = 4
 #: Bits of the filter of places, at most and for each place.
@@ -95,6 +97,12 @@ def _may_match(a: str, b: str) -> Column:
     return length & differ & position & earlier
 
 
+def _parity(words: Column, k: int) -> Column:
+    """Of 64 classes of words, the k-th 64 of them, whether the number of words is odd."""
+    mine = lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(PARITIES - 1)) == k
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, w: F.when(mine(w), s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int")))).otherwise(s))
+
+
 def _slots(d: Column, l: Column, bits: int) -> Column:
     return F.xxhash64(d, l).bitwiseAND(F.lit(bits - 1))
 
@@ -146,7 +154,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     met = by_word(enough.select("at.*", "n", "sig", "prefix"), F.slice("prefix", 1, LEADS), F.col("n"))
     lead = met.groupBy("word").agg(F.min(F.struct("d", "l", "size", "sig")).alias("first")).select("word", "first.*")
-    ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))).alias("differ")]
+    ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al")]
     same = F.col("a.word") == F.col("b.word")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -159,7 +167,13 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         there = F.call_function("shiftright", F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
         perhaps = split_lines(docs.select(id_col, text_col), id_col, text_col).where(there)
         some = perhaps.join(wanted, ["d", "l"], "left_semi").dropDuplicates(["d", "l"])
-        sets_ = written(with_words(some).select("d", "l", F.col("words").alias("set")))
+        sets_ = written(with_words(some).select("d", "l", F.col("words").alias("set"), F.array(*[_parity(F.col("words"), k) for k in range(PARITIES)]).alias("odd")))
+        settle(spark)
+        odd = lambda d, l, to: sets_.select(F.col("d").alias(d), F.col("l").alias(l), "odd", F.size("set").alias("n")).withColumnsRenamed({"odd": f"{to}_odd", "n": f"{to}_n"})
+        differ = sum((F.bit_count(F.col("a_odd")[k].bitwiseXOR(F.col("b_odd")[k])) for k in range(1, PARITIES)), F.bit_count(F.col("a_odd")[0].bitwiseXOR(F.col("b_odd")[0])))
+        near = written(pairs.join(odd("ad", "al", "a"), ["ad", "al"]).join(odd("d", "l", "b"), ["d", "l"]).where(differ * (10 + TENTHS) <= (10 - TENTHS) * (F.col("a_n") + F.col("b_n"))).select("d", "l", "ad", "al", differ.alias("differ")))
+        discard(pairs)
+        pairs = near
         settle(spark)
         a, b = sets_.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.col("set").alias("a_set")), sets_.withColumnRenamed("set", "b_set")
         both = F.size(F.array_intersect("a_set", "b_set"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from quarry.llm.common import components, discard, lower_ascii, read, settle, te
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 3
 #: Jaccard similarity times ten of two near texts, counters that shingles are counted in, and rarest shingles under which a set first meets the smallest.
 TENTHS, COUNTERS, LEADS = 8, 1 << 16, 2
+#: Steps in which candidates meet their sets of shingles, so that only a part of the pairs carries them at a time.
+STEPS = 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Shingles that are hashed and counted at a time.
 _STRIDE = 1 << 15
@@ -263,10 +266,16 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int)
     # an id may have several texts
     full = written(some.mapInArrow(run, "s long, keys array<long>").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
     settle(docs.sparkSession)
-    x, y = full.select(F.col("s").alias("a"), F.col("keys").alias("x")), full.select(F.col("s").alias("b"), F.col("keys").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    out = written(pairs.join(x, "a").join(y, "b").where(both * (10 + TENTHS) >= TENTHS * (F.size("x") + F.size("y"))).select("a", "b"))
-    for t in (pairs, wanted, full):
+    parts = []
+    for step in range(STEPS):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(STEPS)) == step)
+        x = full.where(F.pmod(F.xxhash64("s"), F.lit(STEPS)) == step).select(F.col("s").alias("a"), F.col("keys").alias("x"))
+        y = full.join(some.select(F.col("b").alias("s")).distinct(), "s", "left_semi").select(F.col("s").alias("b"), F.col("keys").alias("y"))
+        parts.append(written(some.join(x, "a").join(y, "b").where(both * (10 + TENTHS) >= TENTHS * (F.size("x") + F.size("y"))).select("a", "b")))
+        settle(docs.sparkSession)
+    out = written(reduce(DataFrame.unionByName, parts))
+    for t in (pairs, wanted, full, *parts):
         discard(t)
     settle(docs.sparkSession)
     return out
@@ -293,6 +302,8 @@ def near_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     rows = written(_profiles(docs, shingle))
     settle(spark)
     sets = written(rows.groupBy("s").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    texts = written(rows.select("id", "s"))
+    discard(rows)
     heads = written(sets.groupBy("bits").agg(F.min("s").alias("head")))
     settle(spark)
     met = links(heads.select("bits")).join(heads.select(F.col("bits").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("bits").alias("b"), F.col("head").alias("y")), "b")
@@ -303,15 +314,17 @@ def near_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     settled = _verified(docs, sets, alike.unionByName(led), shingle)
     groups = components(settled)
     open_ = written(sets.join(groups, F.col("s") == F.col("node"), "left").select("s", "n", F.coalesce("component", "s").alias("g"), "prefix"))
+    lows = written(sets.select("s", "low"))
+    discard(sets)
     settle(spark)
     all_ = open_.select("s", "n", "g", F.posexplode("prefix").alias("pos", "key"))
     more = all_.alias("x").join(all_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.g") != F.col("y.g")) & _fits("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
-    found = components(settled.unionByName(_verified(docs, sets, more, shingle)))
-    joined = sets.join(found, F.col("s") == F.col("node"), "left").select("s", "low", F.coalesce("component", "s").alias("g"))
+    found = components(settled.unionByName(_verified(docs, lows, more, shingle)))
+    joined = lows.join(found, F.col("s") == F.col("node"), "left").select("s", "low", F.coalesce("component", "s").alias("g"))
     of = written(joined.join(joined.groupBy("g").agg(F.min("low").alias("component_id")), "g").select("s", "component_id"))
-    for t in (sets, heads, open_, settled):
+    for t in (lows, heads, open_, settled):
         discard(t)
-    return rows.join(of, "s").select(F.col("id").alias("doc_id"), "component_id")
+    return texts.join(of, "s").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
