@@ -19,13 +19,13 @@ _UNSAFE = re.compile(r"^ | $|\s | \s")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """batch in slices of about SLICE_BYTES of text; a longer text is a slice by itself."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about most bytes of text; a longer text is a slice by itself."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     cut = 0
     while cut < batch.num_rows:
         base = size[cut - 1] if cut else 0
-        end = max(cut + 1, int(np.searchsorted(size, base + SLICE_BYTES, side="right")))
+        end = max(cut + 1, int(np.searchsorted(size, base + most, side="right")))
         yield batch.slice(cut, end - cut)
         cut = end
 

@@ -21,6 +21,8 @@ EDGE, SYMBOLS, BITS = 256, 257, 9
 BUCKET_BYTES, BUCKET_WORDS = 12_000_000, 100_000
 #: Last symbols of a context by which contexts are dealt to groups, and bytes of text for each group. Tables of shorter contexts go to every task.
 NEAR, GROUP_BYTES = 3, 8_000_000
+#: Bytes of text whose symbols are held at a time: some 100 bytes of numbers for each.
+AT_A_TIME = 1_000_000
 
 
 def _plain(col: str) -> Column:
@@ -280,7 +282,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         """The bucket's longest keys and their counts in learned texts: a row for each group of contexts, and one (-1) of short contexts' edges."""
         key, n = [], []
         for b in _pieces(table.select(["learn", "text"])):
-            for part in slices(b, "text"):
+            for part in slices(b, "text", AT_A_TIME):
                 start, ask = longest_keys(part.column("text"), order)
                 coded = pa.array(ask).dictionary_encode()
                 learned = np.repeat(part.column("learn").to_numpy(zero_copy_only=False), np.diff(np.r_[start, len(ask)])).astype(np.int64)
@@ -351,7 +353,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             at = pc.index_in(found, value_set=known_words).to_numpy(zero_copy_only=False)
             n = np.diff(bounds)
             total = lambda x, at=at, bounds=bounds: np.diff(np.r_[0, np.cumsum(x[at])][bounds]) + x[end]
-            out.append(pa.table({"id": b.column("id"), "n_tokens": pa.array(n + 1), "n_known": pa.array(total((c > 0).astype(np.int64))), "base_score": pa.array(total(base)), "score": pa.array(np.concatenate([sequence(p.column("text")) for p in slices(b, "text")]) if across else total(lp))}))
+            out.append(pa.table({"id": b.column("id"), "n_tokens": pa.array(n + 1), "n_known": pa.array(total((c > 0).astype(np.int64))), "base_score": pa.array(total(base)), "score": pa.array(np.concatenate([sequence(p.column("text")) for p in slices(b, "text", AT_A_TIME)]) if across else total(lp))}))
         return pa.concat_tables(out)
 
     values = asked_words.select("bucket", "word").join(words, "word").select("bucket", "word", "c", "lp")

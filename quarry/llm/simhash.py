@@ -18,6 +18,8 @@ from quarry.llm.common import components, discard, lower_ascii, read, settle, te
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 3
 #: Jaccard similarity times ten of two near texts, counters that shingles are counted in, and rarest shingles under which a set first meets the smallest.
 TENTHS, COUNTERS, LEADS = 8, 1 << 16, 2
+#: Classes of shingles by which candidates are told apart before their sets travel.
+CLASSES = 2048
 #: Steps in which candidates meet their sets of shingles, so that only a part of the pairs carries them at a time.
 STEPS = 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -260,11 +262,19 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int)
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = [_shingle_set(t, shingle)[0] for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(k) for k in keys], pa.int64()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))], ["s", "keys"])
+                odd = [np.packbits(np.bincount((k & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 1).view(np.int64) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(k) for k in keys], pa.int64()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["s", "keys", "odd"])
 
     some = _texts(docs.join(wanted.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     # an id may have several texts
-    full = written(some.mapInArrow(run, "s long, keys array<long>").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
+    full = written(some.mapInArrow(run, "s long, keys array<long>, odd array<long>").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
+    settle(docs.sparkSession)
+    # each class of shingles that is odd in one set only needs a shingle that only one of them has
+    odd = lambda to, o, n: full.select(F.col("s").alias(to), F.col("odd").alias(o), F.size("keys").alias(n))
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+    near = written(pairs.join(odd("a", "x", "n"), "a").join(odd("b", "y", "m"), "b").where(differ * (10 + TENTHS) <= (10 - TENTHS) * (F.col("n") + F.col("m"))).select("a", "b"))
+    discard(pairs)
+    pairs = near
     settle(docs.sparkSession)
     both = F.size(F.array_intersect("x", "y"))
     parts = []
