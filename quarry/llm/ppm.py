@@ -278,23 +278,27 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     packed = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
-    def symbols(table: pa.Table) -> pa.Table:
-        """The bucket's longest keys and their counts in learned texts: a row for each group of contexts, and one (-1) of short contexts' edges."""
+    def bucket_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bucket's longest keys in order, their counts in learned texts, and their places by group of contexts, with the bounds of the groups."""
         key, n = [], []
         for b in _pieces(table.select(["learn", "text"])):
             for part in slices(b, "text", AT_A_TIME):
                 start, ask = longest_keys(part.column("text"), order)
                 coded = pa.array(ask).dictionary_encode()
-                learned = np.repeat(part.column("learn").to_numpy(zero_copy_only=False), np.diff(np.r_[start, len(ask)])).astype(np.int64)
+                learned = np.repeat(part.column("learn").to_numpy(zero_copy_only=False), np.diff(np.r_[start, len(ask)])).astype(np.int8)
                 key.append(coded.dictionary.to_numpy())
                 n.append(np.bincount(coded.indices.to_numpy(), learned, len(coded.dictionary)).astype(np.int64))
         key, n = _counted(np.concatenate(key), np.concatenate(n))
-        low = [_level_of(key, n, k, order) for k in range(near)]
         g = (((key >> BITS & (1 << BITS * near) - 1) * 0x9E3779B1 & 0xFFFFFFFF) >> 8) % groups
         by = np.argsort(g, kind="stable")
-        cut = np.searchsorted(g[by], np.arange(groups + 1))
+        return key, n, by, np.searchsorted(g[by], np.arange(groups + 1))
+
+    def symbols(table: pa.Table) -> pa.Table:
+        """A row for each group of contexts, and one (-1) of short contexts' edges. Counts of a bucket fit in 32 bits."""
+        key, n, by, cut = bucket_keys(table)
+        low = [_level_of(key, n, k, order) for k in range(near)]
         rows_ = [(-1, np.concatenate([k for k, _ in low]), np.concatenate([c for _, c in low]))] + [(i, key[by[p:q]], n[by[p:q]]) for i, (p, q) in enumerate(zip(cut, cut[1:])) if p < q]
-        return pa.table({"g": [i for i, _, _ in rows_], "keys": [k.tobytes() for _, k, _ in rows_], "n": [c.tobytes() for _, _, c in rows_]}, schema=packed)
+        return pa.table({"g": [i for i, _, _ in rows_], "keys": [k.tobytes() for _, k, _ in rows_], "n": [c.astype(np.int32).tobytes() for _, _, c in rows_]}, schema=packed)
 
     asked = written(rows.groupBy("bucket").applyInArrow(distinct, "bucket int, word string, c long, g int, keys binary, n binary"))
     asked_words, asked_keys = asked.where("word is not null"), asked.where("g >= 0").select("bucket", "g", "keys", "n")
@@ -309,7 +313,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int32).astype(np.int64))], ["key", "n"])
 
     def short_levels() -> list[tuple[np.ndarray, np.ndarray]]:
         """Edges of contexts shorter than near: as many as there are different byte sequences of near bytes."""
@@ -321,21 +325,24 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         short = spark.sparkContext.broadcast(short_levels())
 
         def answer(table: pa.Table) -> pa.Table:
-            buckets, keys_, ns = (table.column(c).to_pylist() for c in ("bucket", "keys", "n"))
+            buckets, gs, keys_, ns = (table.column(c).to_pylist() for c in ("bucket", "g", "keys", "n"))
             keys_ = [np.frombuffer(k, np.int64) for k in keys_]
-            key, n = _counted(np.concatenate(keys_), np.concatenate([np.frombuffer(c, np.int64) for c in ns]))
+            key, n = _counted(np.concatenate(keys_), np.concatenate([np.frombuffer(c, np.int32) for c in ns]).astype(np.int64))
             lp = key_scores(key, short.value + [_level_of(key, n, k, order) for k in range(near, order + 1)], order)
-            return pa.table({"bucket": pa.array(buckets, pa.int32()), "keys": [k.tobytes() for k in keys_], "lps": [lp[np.searchsorted(key, k)].tobytes() for k in keys_]})
+            # a bucket knows its keys; the 7 figures of 32 bits are enough for logarithms of single bytes
+            return pa.table({"bucket": pa.array(buckets, pa.int32()), "g": pa.array(gs, pa.int32()), "lps": pa.array([lp[np.searchsorted(key, k)].astype(np.float32).tobytes() for k in keys_], pa.binary())})
 
-        return written(asked_keys.groupBy("g").applyInArrow(answer, "bucket int, keys binary, lps binary"))
+        return written(asked_keys.groupBy("g").applyInArrow(answer, "bucket int, g int, lps binary"))
 
     def finish(docs_: pa.Table, values: pa.Table) -> pa.Table:
-        replies = values.filter(pc.is_valid(values.column("keys")))
+        replies = values.filter(pc.is_valid(values.column("g")))
         values = values.filter(pc.is_valid(values.column("word"))).combine_chunks()
         if across:
-            key, key_lp = (np.concatenate([np.frombuffer(x, t) for x in replies.column(c).to_pylist()]) for c, t in (("keys", np.int64), ("lps", np.float64)))
-            by = np.argsort(key)
-            key, key_lp = key[by], key_lp[by]
+            key, _, by, cut = bucket_keys(docs_)
+            key_lp = np.empty(len(key))
+            for g, lps in zip(replies.column("g").to_pylist(), replies.column("lps").to_pylist()):
+                key_lp[by[cut[g] : cut[g + 1]]] = np.frombuffer(lps, np.float32)
+            del by, cut
         del replies
 
         def sequence(texts: pa.Array) -> np.ndarray:
@@ -356,11 +363,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             out.append(pa.table({"id": b.column("id"), "n_tokens": pa.array(n + 1), "n_known": pa.array(total((c > 0).astype(np.int64))), "base_score": pa.array(total(base)), "score": pa.array(np.concatenate([sequence(p.column("text")) for p in slices(b, "text", AT_A_TIME)]) if across else total(lp))}))
         return pa.concat_tables(out)
 
-    values = asked_words.select("bucket", "word").join(words, "word").select("bucket", "word", "c", "lp")
-    none = F.lit(None).cast("binary")
-    values = values.withColumns({"keys": none, "lps": none})
+    values = written(asked_words.select("bucket", "word").join(words, "word").select("bucket", "word", "c", "lp"))
+    replies = answered() if across else None
+    for t in (asked, vocabulary) if across else (asked, vocabulary, words):
+        discard(t)
+    settle(spark)
+    values = values.withColumns({"g": F.lit(None).cast("int"), "lps": F.lit(None).cast("binary")})
     if across:
-        values = values.unionByName(answered(), allowMissingColumns=True)
+        values = values.unionByName(replies, allowMissingColumns=True)
     out = rows.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(finish, f"id {id_kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
