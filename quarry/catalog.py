@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "patterns", "graph", "ledger", "analytics", "records")
+MODULES = ("aggregates", "patterns", "graph", "ledger", "analytics", "records", "supply", "quads")
 
 
 def _modules():

@@ -34,11 +34,22 @@ def phonetic(c: Column) -> Column:
     return F.when(F.coalesce(F.length(letters), F.lit(0)) == 0, "0000").otherwise(F.substring(F.concat(F.substring(letters, 1, 1), rest, F.lit("000")), 1, 4))
 
 
-def sanitized(c: Column, limit: int) -> Column:
-    """Without tags and control characters, lower-cased, white space collapsed, cut to limit characters."""
-    bare = F.regexp_replace(c, "<[^>]*>", "")
-    bare = F.regexp_replace(bare, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return F.substring(F.trim(F.regexp_replace(F.lower(bare), r"[ \t\r\n]+", " ")), 1, limit)
+def sanitized(c: Column, limit: int | None = None, replacements: dict[str, str] | None = None) -> Column:
+    """Without tags and control characters, lower-cased, white space collapsed, cut to whole characters within limit bytes.
+
+    A tag runs from < to the next >, or to the end; a > that ends none goes, too.
+    All control characters but line ends and tabs go, those of U+0080 to U+009F as well.
+    """
+    bare = F.regexp_replace(c, "<[^>]*(?:>|\\z)|>", "")
+    bare = F.regexp_replace(bare, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
+    for old, new in (replacements or {}).items():
+        bare = F.replace(bare, F.lit(old), F.lit(new))
+    clean = F.trim(F.regexp_replace(F.lower(bare), r"[\t\r\n \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+", " "))
+    if limit is None:
+        return clean
+    # what is left of a character that the cut parts is no valid end
+    cut = F.substring(F.encode(clean, "UTF-8"), 1, limit)
+    return F.when(F.octet_length(clean) <= limit, clean).otherwise(F.decode(F.substring(cut, F.lit(1), F.length(cut) - F.length(F.regexp_extract(F.hex(cut), "((?:F[0-7](?:[89AB][0-9A-F]){0,2}|E[0-9A-F](?:[89AB][0-9A-F])?|[CD][0-9A-F])?)$", 1)) / 2), "UTF-8"))
 
 
 def slug(c: Column) -> Column:

@@ -53,8 +53,10 @@ def merkle_root(leaves: DataFrame, col: str = "hash") -> DataFrame:
     return level.agg(F.coalesce(F.max("hash"), F.lit("0" * 64)).alias("root"))
 
 
-def block_hash(index: str, timestamp: str, data: str, previous: str | Column, validator: str) -> Column:
-    return F.sha2(F.concat_ws("|", F.col(index).cast("string"), F.col(timestamp), F.sha2(F.col(data), 256), F.col(previous) if isinstance(previous, str) else previous, F.col(validator)), 256)
+def block_hash(index: str, timestamp: str, data: str, previous: str | Column, validator: str, encrypted: Column | None = None) -> Column:
+    """SHA-256 of index, time, hash of the data, previous hash, validator and encrypted data, one after the other."""
+    parts = [F.col(index).cast("string"), F.col(timestamp), F.sha2(F.col(data), 256), F.col(previous) if isinstance(previous, str) else previous, F.col(validator), F.lit("") if encrypted is None else F.coalesce(encrypted, F.lit(""))]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def gaps(indices: DataFrame, col: str) -> DataFrame:

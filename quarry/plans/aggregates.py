@@ -41,20 +41,6 @@ def daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("props")).alias("volume"))
 
 
-#: Keyword buckets of event types, in the order in which they are tried; the last takes what is left.
-BUCKETS = [("Access", "view"), ("Access", "click"), ("Trade", "purchase"), ("Identity", "signup"), ("Fault", "error")]
-BUCKET_NAMES = ["Access", "Trade", "Identity", "Fault", "Audit", "Governance"]
-
-
-def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by keyword bucket; buckets without events count 0."""
-    kind = F.lower("event_type")
-    bucket = F.coalesce(*[F.when(kind.contains(word), F.lit(name)) for name, word in BUCKETS], F.lit("Governance"))
-    names = spark.createDataFrame([(n,) for n in BUCKET_NAMES], "bucket string")
-    counts = table(spark, sf_dir, "events").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return names.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def growth_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of the daily count from the first half of the days to the second, in percent.
 
@@ -110,11 +96,6 @@ QUERIES = {
     "collect_distinct": (collect_distinct, """SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS segments
         FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) GROUP BY c_nationkey"""),
     "daily_history": (daily_history, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS volume FROM events GROUP BY 1"),
-    "type_distribution": (type_distribution, """WITH b AS (SELECT CASE WHEN contains(lower(event_type), 'view') OR contains(lower(event_type), 'click') THEN 'Access'
-          WHEN contains(lower(event_type), 'purchase') THEN 'Trade' WHEN contains(lower(event_type), 'signup') THEN 'Identity'
-          WHEN contains(lower(event_type), 'error') THEN 'Fault' ELSE 'Governance' END AS bucket FROM events)
-        SELECT n.bucket, count(b.bucket) AS n FROM (VALUES ('Access'), ('Trade'), ('Identity'), ('Fault'), ('Audit'), ('Governance')) n(bucket)
-        LEFT JOIN b ON b.bucket = n.bucket GROUP BY n.bucket"""),
     "growth_rate": (growth_rate, """WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1),
         r AS (SELECT n, row_number() OVER (ORDER BY day) <= floor(count(*) OVER () / 2) AS early FROM d),
         h AS (SELECT sum(n) FILTER (early) AS a, sum(n) FILTER (NOT early) AS b, count(*) AS days FROM r)

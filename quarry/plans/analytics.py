@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,46 +9,6 @@ from pyspark.sql import functions as F
 from quarry.functions.numbers import money
 from quarry.plans.tables import table
 
-#: kg of CO2 a kg of product by way of growing, and a tonne-kilometre by means of transport (fixed values).
-PRODUCTION = {"organic": 1.2, "sustainable": 1.5, "conventional": 2.0, "intensive": 2.8}
-TRANSPORT = {"truck": 0.12, "rail": 0.03, "ship": 0.015, "air": 0.8}
-
-
-def _lookup(key, values: dict[str, float], default: float):
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key), F.lit(default))
-
-
-def carbon_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Emissions of products by source, and each source's share."""
-    method = F.element_at(F.array(*map(F.lit, PRODUCTION)), (F.col("p_size") % 4 + 1).cast("int"))
-    mode = F.element_at(F.array(*map(F.lit, TRANSPORT)), (F.col("p_partkey") % 4 + 1).cast("int"))
-    kg = F.col("p_size").cast("double")
-    made, moved = _lookup(method, PRODUCTION, 2.0) * kg, _lookup(mode, TRANSPORT, 0.12) * kg
-    rows = table(spark, sf_dir, "part").select(F.explode(F.array(F.struct(F.lit("production").alias("source"), made.alias("kg")), F.struct(F.lit("transport").alias("source"), moved.alias("kg")))).alias("e"))
-    totals = rows.groupBy("e.source").agg(F.sum(F.col("e.kg").cast("decimal(18,4)")).alias("kg"))
-    whole = F.sum("kg").over(W.partitionBy())  # a row for each source
-    return totals.select("source", F.col("kg").cast("double").alias("kg"), F.round(F.col("kg").cast("double") / whole.cast("double") * 100, 6).alias("share"))
-
-
-def supplier_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality .4, delivery .3, compliance .3; what a supplier has no record of takes a default."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("returned"), F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("done"))
-    quality = F.coalesce(1 - F.col("returned") / F.col("n"), F.lit(0.8))
-    delivery = F.coalesce(F.col("done") / F.col("n"), F.lit(0.9))
-    compliance = F.when(F.col("s_acctbal") > 0, 1.0).otherwise(0.5)
-    s = table(spark, sf_dir, "supplier").join(li, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    return s.select("s_suppkey", F.round(quality, 9).alias("quality"), F.round(delivery, 9).alias("delivery"), compliance.alias("compliance"), F.round(0.4 * quality + 0.3 * delivery + 0.3 * compliance, 9).alias("overall"))
-
-
-def batch_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk of a product from price, size and kind, with its level."""
-    supplier = F.least(F.lit(1.0), F.when(F.col("p_retailprice") > 1500, 0.4).otherwise(0.1) + F.when(F.col("p_brand") == "Brand#1", 0.3).otherwise(0.0))
-    transport = F.when(F.col("p_size") > 40, 0.6).when(F.col("p_size") > 20, 0.3).otherwise(0.1)
-    quality = F.when(F.col("p_type") == "ECONOMY", 0.5).otherwise(0.2)
-    risk = F.round(0.3 * supplier + 0.2 * transport + 0.3 * quality + 0.2 * F.lit(0.1), 9)
-    return table(spark, sf_dir, "part").select("p_partkey", risk.alias("risk"), F.when(risk < 0.25, "Low").when(risk < 0.5, "Medium").when(risk < 0.75, "High").otherwise("Critical").alias("level"))
-
-
 def quality_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of checks at 0.7 or above, mean and defects, by kind; an empty set passes."""
     score = 1 - F.col("l_discount") * 4
@@ -58,21 +16,6 @@ def quality_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_returnflag", F.round(F.col("passed") / F.col("n"), 9).alias("pass_rate"), F.round(F.col("total").cast("double") / F.col("n"), 9).alias("mean_score"), F.round(1 - F.col("passed") / F.col("n"), 9).alias("defect_rate"))
 
 
-def demand_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty days of demand: the mean day, a trend of 0.1 % a day, and a season of 20 % over the year."""
-    li = table(spark, sf_dir, "lineitem")
-    base = li.agg((F.sum(money("l_quantity")).cast("double") / F.countDistinct("l_shipdate")).alias("base"))
-    season = 1 + 0.2 * F.sin(2 * math.pi * ((F.col("id") + 1) / 365))
-    return spark.range(30).crossJoin(F.broadcast(base)).select(F.col("id").alias("day"), F.round(F.col("base") * (1 + 0.001 * F.col("id")) * season, 4).alias("demand"))  # base is a row
-
-
-def forecast_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1 - half the coefficient of variation of daily counts, from .25 to .98; .75 for fewer than ten days."""
-    days = table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    cv = F.stddev_pop(F.col("n").cast("double")) / F.avg(F.col("n").cast("double"))
-    return days.groupBy("event_type").agg(F.round(F.when(F.count(F.lit(1)) < 10, 0.75).otherwise(F.least(F.lit(0.98), F.greatest(F.lit(0.25), 1 - cv / 2))), 6).alias("accuracy"))
-
-
 def trend_last5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of each type's last five values against the five before: more than twice is degrading, less than half improving."""
     ranked = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("event_id")))).where("r <= 10")
@@ -102,23 +45,9 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "carbon_footprint": (carbon_footprint, """WITH e AS (SELECT 'production' AS source, CAST(([1.2, 1.5, 2.0, 2.8]::DOUBLE[])[p_size % 4 + 1] * p_size AS DECIMAL(18,4)) AS kg FROM part
-        UNION ALL SELECT 'transport', CAST(([0.12, 0.03, 0.015, 0.8]::DOUBLE[])[p_partkey % 4 + 1] * p_size AS DECIMAL(18,4)) FROM part), t AS (SELECT source, sum(kg) AS kg FROM e GROUP BY 1)
-        SELECT source, CAST(kg AS DOUBLE) AS kg, round(CAST(kg AS DOUBLE) / CAST(sum(kg) OVER () AS DOUBLE) * 100, 6) AS share FROM t"""),
-    "supplier_performance": (supplier_performance, """WITH l AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'F') AS done FROM lineitem GROUP BY 1),
-        m AS (SELECT s_suppkey, coalesce(1 - returned::DOUBLE / n, 0.8) AS q, coalesce(done::DOUBLE / n, 0.9) AS d, CASE WHEN s_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS c FROM supplier LEFT JOIN l ON s_suppkey = l_suppkey)
-        SELECT s_suppkey, round(q, 9) AS quality, round(d, 9) AS delivery, c AS compliance, round(0.4::DOUBLE * q + 0.3::DOUBLE * d + 0.3::DOUBLE * c, 9) AS overall FROM m"""),
-    "batch_risk": (batch_risk, """WITH m AS (SELECT p_partkey, least(1.0::DOUBLE, (CASE WHEN p_retailprice > 1500 THEN 0.4 ELSE 0.1 END)::DOUBLE + (CASE WHEN p_brand = 'Brand#1' THEN 0.3 ELSE 0.0 END)::DOUBLE) AS s,
-          (CASE WHEN p_size > 40 THEN 0.6 WHEN p_size > 20 THEN 0.3 ELSE 0.1 END)::DOUBLE AS t, (CASE WHEN p_type = 'ECONOMY' THEN 0.5 ELSE 0.2 END)::DOUBLE AS q FROM part),
-        r AS (SELECT p_partkey, round(0.3::DOUBLE * s + 0.2::DOUBLE * t + 0.3::DOUBLE * q + 0.2::DOUBLE * 0.1::DOUBLE, 9) AS risk FROM m)
-        SELECT p_partkey, risk, CASE WHEN risk < 0.25 THEN 'Low' WHEN risk < 0.5 THEN 'Medium' WHEN risk < 0.75 THEN 'High' ELSE 'Critical' END AS level FROM r"""),
     "quality_pass_rate": (quality_pass_rate, """WITH s AS (SELECT l_returnflag, 1 - l_discount * 4 AS score FROM lineitem)
         SELECT l_returnflag, round(count(*) FILTER (score >= 0.7::DOUBLE)::DOUBLE / count(*), 9) AS pass_rate, round(CAST(sum(CAST(round(score, 4) AS DECIMAL(18,4))) AS DOUBLE) / count(*), 9) AS mean_score,
         round(1 - count(*) FILTER (score >= 0.7::DOUBLE)::DOUBLE / count(*), 9) AS defect_rate FROM s GROUP BY 1"""),
-    "demand_forecast": (demand_forecast, """WITH b AS (SELECT CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(DISTINCT l_shipdate) AS base FROM lineitem)
-        SELECT id AS day, round(base * (1 + 0.001::DOUBLE * id) * (1 + 0.2::DOUBLE * sin(2 * pi() * ((id + 1) / 365.0::DOUBLE))), 4) AS demand FROM range(30) r(id), b"""),
-    "forecast_accuracy": (forecast_accuracy, """WITH d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2)
-        SELECT event_type, round(CASE WHEN count(*) < 10 THEN 0.75::DOUBLE ELSE least(0.98::DOUBLE, greatest(0.25::DOUBLE, 1 - stddev_pop(n) / avg(n) / 2)) END, 6) AS accuracy FROM d GROUP BY 1"""),
     "trend_last5": (trend_last5, """WITH r AS (SELECT event_type, CAST(value AS DECIMAL(18,2)) AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events QUALIFY r <= 10),
         g AS (SELECT event_type, count(*) AS n, CAST(sum(v) FILTER (r <= 5) AS DOUBLE) AS new, CAST(sum(v) FILTER (r > 5) AS DOUBLE) AS old FROM r GROUP BY 1)
         SELECT event_type, CASE WHEN n < 10 THEN 'Stable' WHEN new > 2 * old THEN 'Degrading' WHEN new < old / 2 THEN 'Improving' ELSE 'Stable' END AS trend FROM g"""),

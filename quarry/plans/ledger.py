@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators.ledger import block_hash, gaps, graph_hash, merkle_root, quad_hash
+from quarry.operators.ledger import gaps, graph_hash, merkle_root, quad_hash
 from quarry.plans.tables import table
 
 
@@ -31,18 +31,6 @@ def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_root(table(spark, sf_dir, "nation").select(F.sha2("n_name", 256).alias("hash")))
 
 
-def chain_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as blocks of their user's chain: is each hash that of its content, does it follow in time?
-
-    One chain a user, so the window is dealt out by user.
-    """
-    w = W.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "props", "event_type")
-    e = e.withColumn("data_hash", F.sha2("props", 256))
-    linked = e.withColumn("previous", F.coalesce(F.lag("data_hash").over(w), F.lit("0" * 64))).withColumn("in_order", F.coalesce(F.lag("at").over(w) <= F.col("at"), F.lit(True)))
-    return linked.select("event_id", block_hash("event_id", "at", "props", "previous", "event_type").alias("hash"), "in_order")
-
-
 def gap_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of missing order keys once every seventh pair is taken out."""
     return gaps(table(spark, sf_dir, "orders").where("o_orderkey % 14 not in (3, 4)"), "o_orderkey")
@@ -63,9 +51,6 @@ QUERIES = {
     "quad_state_hash": (quad_state_hash, f"WITH {_Q} SELECT s, p, sha256('<' || g || '>' || chr(10) || '<' || s || '>' || chr(10) || '<' || p || '>' || chr(10) || {_T}) AS hash FROM q"),
     "canonical_graph_hash": (canonical_graph_hash, f"WITH {_Q}, h AS (SELECT DISTINCT g, sha256('<' || s || '>' || '<' || p || '>' || {_T}) AS h FROM q) SELECT g, sha256(string_agg(h, '' ORDER BY h)) AS hash FROM h GROUP BY g"),
     "merkle_root": (merkle, f"WITH m0 AS (SELECT row_number() OVER (ORDER BY sha256(n_name)) - 1 AS i, sha256(n_name) AS h FROM nation), {_LEVELS} SELECT h AS root FROM m5"),
-    "chain_validity": (chain_validity, """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, coalesce(lag(sha256(props)) OVER w, repeat('0', 64)) AS previous,
-          coalesce(lag(strftime(ts, '%Y-%m-%d %H:%M:%S')) OVER w <= strftime(ts, '%Y-%m-%d %H:%M:%S'), true) AS in_order FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-        SELECT event_id, sha256(event_id || '|' || t || '|' || sha256(props) || '|' || previous || '|' || event_type) AS hash, in_order FROM e"""),
     "gap_detection": (gap_detection, """WITH i AS (SELECT o_orderkey AS i, lag(o_orderkey, 1, -1) OVER (ORDER BY o_orderkey) AS prev FROM orders WHERE o_orderkey % 14 NOT IN (3, 4))
         SELECT prev + 1 AS low, i - 1 AS high FROM i WHERE i > prev + 1"""),
     "vote_tally": (vote_tally, """WITH l AS (SELECT event_type, user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2)

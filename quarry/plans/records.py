@@ -10,18 +10,6 @@ from quarry.operators.linking import linked_pairs, merged
 from quarry.plans.tables import table
 
 
-def entity_linking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product names alike by edits, compared within brand and type."""
-    p = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type").alias("block"), F.col("p_name").alias("name"))
-    return linked_pairs(p, 0.8).select("a", "b", F.round("similarity", 9).alias("similarity"))
-
-
-def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of products that linked pairs join."""
-    p = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type").alias("block"), F.col("p_name").alias("name"))
-    return merged(p, linked_pairs(p, 1.0))
-
-
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type").alias("block"), F.col("p_name").alias("name"))
 
@@ -41,10 +29,6 @@ def phonetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", phonetic(F.col("p_name")).alias("code"))
 
 
-def jaccard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", F.round(token_jaccard(F.col("p_name"), F.lit("small red ring")), 9).alias("likeness"))
-
-
 def jaccard_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(token_jaccard(F.col("p_name"), F.lit("small red ring")), 9).alias("likeness"))
 
@@ -75,14 +59,9 @@ def datatype_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_cast(k, "bigint").alias("k") if hasattr(F, "try_cast") else k.try_cast("bigint").alias("k")).where("k is null or k >= 50")
 
 
-def policy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who may see an order: all if finished, the owner and auditors if pending, else the owner. Asked by customer 7 as no auditor."""
-    allowed = F.when(F.col("o_orderstatus") == "F", True).otherwise(F.col("o_custkey") == 7)
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus", allowed.alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(sanitized(F.col("html"), 100_000), 256).alias("clean_sha256"), F.length(sanitized(F.col("html"), 100_000)).alias("n_chars"))
+    clean = table(spark, sf_dir, "pages").select("page_id", sanitized(F.col("html")).alias("clean"))
+    return clean.select("page_id", F.sha2("clean", 256).alias("clean_sha256"), F.length("clean").alias("n_chars"))
 
 
 #: Classes of content by words, in the order in which they are tried.
@@ -99,28 +78,20 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", slug(F.col("c_name")).alias("slug"), safe_identifier(F.col("c_name")).alias("identifier"), F.right("c_name", F.lit(8)).alias("serial"))
 
 
-_SAN = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')), '[ \t\r\n]+', ' ', 'g'))[:100000]"""
-_PAIRS = """p AS (SELECT p_partkey AS id, p_brand || '|' || p_type AS block, p_name AS name FROM part WHERE p_size <= 10),
-    s AS (SELECT a.id AS a, b.id AS b, 1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(strlen(a.name), strlen(b.name)) AS similarity FROM p a JOIN p b ON a.block = b.block AND a.id < b.id)"""
-
+_SAN = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(html, '<[^>]*(?:>|\z)|>', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g')), '[\t\r\n \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"""
 _ALL_PAIRS = """p AS (SELECT p_partkey AS id, p_brand || '|' || p_type AS block, p_name AS name FROM part),
     s AS (SELECT a.id AS a, b.id AS b, 1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(strlen(a.name), strlen(b.name)) AS similarity FROM p a JOIN p b ON a.block = b.block AND a.id < b.id)"""
 
 QUERIES = {
-    "entity_linking_pairs": (entity_linking_pairs, f"WITH {_PAIRS} SELECT a, b, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.8"),
-    "entity_groups": (entity_groups, f"WITH {_PAIRS}, g AS (SELECT b AS id, min(a) AS entity FROM s WHERE similarity >= 1 GROUP BY 1) SELECT p.id, coalesce(g.entity, p.id) AS entity FROM p LEFT JOIN g ON p.id = g.id"),
     "phonetic_codes": (phonetic_codes, r"""WITH n AS (SELECT DISTINCT p_name, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS l FROM part),
         c AS (SELECT p_name, l, translate(l, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000') AS d FROM n),
         r AS (SELECT p_name, l, list_reduce([x for x, i in string_split(d, '') if i = 1 OR x <> string_split(d, '')[i - 1]], lambda a, b: a || b) AS r FROM c)
         SELECT p_name, CASE WHEN l = '' THEN '0000' ELSE (l[1] || replace(r[2:], '0', '') || '000')[1:4] END AS code FROM r"""),
-    "jaccard_names": (jaccard_names, """WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS x FROM part WHERE p_partkey <= 200)
-        SELECT p_partkey, round(len(list_intersect(x, ['small', 'red', 'ring']))::DOUBLE / (len(x) + 3 - len(list_intersect(x, ['small', 'red', 'ring']))), 9) AS likeness FROM w"""),
     "cosine_topk": (cosine_topk, """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS cosine
         FROM embeddings WHERE vec_id <> 0 ORDER BY cosine DESC, vec_id LIMIT 10"""),
     "key_uniqueness": (key_uniqueness, "SELECT p_brand, p_type, p_name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2, 3 HAVING count(*) > 1"),
     "duplicate_texts": (duplicate_texts, "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "datatype_check": (datatype_check, "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE k IS NULL OR k >= 50"),
-    "policy_check": (policy_check, "SELECT o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN true ELSE o_custkey = 7 END AS allowed, count(*) AS n FROM orders GROUP BY 1, 2"),
     "sanitize_html": (sanitize_html, f"SELECT page_id, sha256({_SAN}) AS clean_sha256, CAST(length({_SAN}) AS INTEGER) AS n_chars FROM pages"),
     "content_classification": (content_classification, """SELECT CASE WHEN regexp_matches(lower(text), 'password|secret|api_key') THEN 'Restricted' WHEN regexp_matches(lower(text), '@|phone') THEN 'Confidential'
         WHEN regexp_matches(lower(text), 'license|copyright') THEN 'Internal' ELSE 'Public' END AS class, count(*) AS n FROM documents GROUP BY 1"""),
@@ -132,3 +103,4 @@ QUERIES = {
     "jaccard_names_all": (jaccard_names_all, """WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS x FROM part)
         SELECT p_partkey, round(len(list_intersect(x, ['small', 'red', 'ring']))::DOUBLE / (len(x) + 3 - len(list_intersect(x, ['small', 'red', 'ring']))), 9) AS likeness FROM w"""),
 }
+QUERIES |= {name.removesuffix("_all"): QUERIES[name] for name in ("entity_linking_pairs_all", "entity_groups_all", "jaccard_names_all")}
