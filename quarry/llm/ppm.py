@@ -25,9 +25,18 @@ NEAR, GROUP_BYTES = 3, 8_000_000
 AT_A_TIME = 1_000_000
 
 
-def _plain(col: str) -> Column:
-    """A to Z lower-cased and all white space as blanks."""
-    return F.translate(text_or_empty(col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
+def _plain(texts: pa.Array) -> pa.Array:
+    """A to Z lower-cased, and words joined by one blank."""
+    texts = pc.ascii_lower(texts)
+    for blank in "\t\n\x0b\x0c\r":
+        texts = pc.replace_substring(texts, blank, " ")
+    bounds, words = _words(texts)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), " ")
+
+
+def _with_plain(table: pa.Table) -> pa.Table:
+    at = table.schema.get_field_index("text")
+    return table.set_column(at, "text", pa.chunked_array([_plain(c) for c in table.column(at).chunks], pa.string()))
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -251,16 +260,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), _plain(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_or_empty(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
     many = max(1, size // BUCKET_BYTES)
     groups, near = max(1, size // GROUP_BYTES), min(NEAR, order)
-    if across:
-        rows = rows.withColumn("text", F.trim(F.regexp_replace("text", " +", " ")))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", F.length("text")), F.lit(many)).cast("int"))
 
     def distinct(table: pa.Table) -> pa.Table:
-        parts = []
+        table, parts = _with_plain(table), []
         for b in _pieces(table.select(["learn", "text"])):
             bounds, words = _words(b.column("text"))
             of = np.repeat(b.column("learn").to_numpy(zero_copy_only=False), np.diff(bounds)).astype(np.int64)
@@ -335,6 +342,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         return written(asked_keys.groupBy("g").applyInArrow(answer, "bucket int, g int, lps binary"))
 
     def finish(docs_: pa.Table, values: pa.Table) -> pa.Table:
+        docs_ = _with_plain(docs_)
         replies = values.filter(pc.is_valid(values.column("g")))
         values = values.filter(pc.is_valid(values.column("word"))).combine_chunks()
         if across:
