@@ -273,8 +273,10 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int)
     odd = lambda to, o, n: full.select(F.col("s").alias(to), F.col("odd").alias(o), F.size("keys").alias(n))
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
     near = written(pairs.join(odd("a", "x", "n"), "a").join(odd("b", "y", "m"), "b").where(differ * (10 + TENTHS) <= (10 - TENTHS) * (F.col("n") + F.col("m"))).select("a", "b"))
-    discard(pairs)
-    pairs = near
+    few = written(full.select("s", "keys").join(near.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s", "left_semi"))
+    for t in (pairs, full):
+        discard(t)
+    pairs, full = near, few
     settle(docs.sparkSession)
     both = F.size(F.array_intersect("x", "y"))
     parts = []
