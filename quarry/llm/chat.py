@@ -20,7 +20,7 @@ def _is(value, kind: str) -> bool:
         return value is None
     if kind in ("integer", "number"):
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        return number and (kind == "number" or float(value).is_integer())
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES.get(kind, ()))
 
 
@@ -52,8 +52,23 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks, and text as it is."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks, and text as it is; where text holds half a surrogate pair, all of it is escaped."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    if not out.isascii() and any("\ud800" <= c <= "\udfff" for c in out):
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return out
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def parsed_json(text: str | None):
+    """The value of a JSON text; ValueError for anything else: NaN, infinities, numbers or nesting beyond what can be read."""
+    try:
+        return json.loads(text or "", parse_constant=_no_constant)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
 
 
 def levels(nodes: DataFrame) -> DataFrame:
@@ -113,8 +128,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
                 if r["n_results"] != 1:
                     errors.append("no result" if not r["n_results"] else "several results")
                 try:
-                    arguments = json.loads(r["arguments"] or "")
-                except ValueError:
+                    arguments = parsed_json(r["arguments"])
+                    canonical(arguments)  # what is nested too deeply for that stays text
+                except (ValueError, RecursionError):
                     arguments = r["arguments"]
                     errors.append("arguments are no JSON")
                 else:
@@ -122,8 +138,16 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
                         errors.append("unknown tool")
                     else:
                         if r["schema"] not in parsed:
-                            parsed[r["schema"]] = json.loads(r["schema"])
-                        errors += violations(arguments, parsed[r["schema"]])
+                            try:
+                                parsed[r["schema"]] = parsed_json(r["schema"])
+                            except ValueError:
+                                parsed[r["schema"]] = None
+                        schema = parsed[r["schema"]]
+                        try:
+                            errors += violations(arguments, schema) if isinstance(schema, dict) else ["schema is no JSON object"]
+                        except (AttributeError, TypeError, RecursionError):  # what a schema means by such a value is not known
+                            errors.append("schema cannot be applied")
+                errors = [e.encode("utf-8", "backslashreplace").decode() for e in errors]
                 out.append((r["conv_id"], r["call_id"], r["level"], r["n_results"], errors, canonical({"arguments": arguments, "id": r["call_id"], "name": r["name"], "result": r["result"]})))
             cols = zip(*out) if out else [()] * 6
             kinds = [batch.schema.field("conv_id").type, batch.schema.field("call_id").type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
