@@ -152,7 +152,12 @@ def graph_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as blocks in chains of four, some tampered with: what of each block does not fit first.
+    """Events as blocks in chains of four, some tampered with: what of each block does not fit first."""
+    return chain_verdicts(spark, sf_dir).select("event_id", "hash", "verdict")
+
+
+def chain_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, index and size of its chain, hash, verdict of each block.
 
     data: not what the graph holds; hash: the stored hash is not that of the
     block; link: the stored previous hash is not the one stored before.
@@ -167,7 +172,7 @@ def chain_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.select("event_id", "user_id", "run", "index", "at", "event_type", "props", F.when(F.col("event_id") % 11 == 0, F.concat("props", F.lit("!"))).otherwise(F.col("props")).alias("data"), F.when(F.col("event_id") % 13 == 0, F.lit("f" * 64)).otherwise(F.coalesce(F.lag("h").over(w), zeros)).alias("previous"), F.when(F.col("event_id") % 17 == 0, F.lit("e" * 64)).otherwise(F.col("h")).alias("hash"))
     linked = F.col("previous") == F.coalesce(F.lag("hash").over(w), zeros)
     verdict = F.when(F.col("data") != F.col("props"), "data").when(block_hash("index", "at", "data", "previous", "event_type") != F.col("hash"), "hash").when(~F.col("linked"), "link").otherwise("valid")
-    return e.withColumn("linked", linked).select("event_id", "hash", verdict.alias("verdict"))
+    return e.withColumns({"linked": linked, "size": _n().over(W.partitionBy("user_id", "run"))}).select("event_id", "index", "size", "hash", verdict.alias("verdict"))
 
 
 def chain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +266,7 @@ _VALID = f"""e AS (SELECT event_id, user_id, props, event_type, strftime(ts, '%Y
     h0 AS (SELECT *, i // 4 AS run, i % 4 AS index, CASE WHEN i % 4 = 0 THEN sha256(i % 4 || made_at || sha256(props) || repeat('0', 64) || event_type) END AS h FROM e), {_STEPS},
     t AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN props || '!' ELSE props END AS data, CASE WHEN event_id % 13 = 0 THEN repeat('f', 64) ELSE coalesce(lag(h) OVER {_W}, repeat('0', 64)) END AS previous, CASE WHEN event_id % 17 = 0 THEN repeat('e', 64) ELSE h END AS hash FROM h3),
     k AS (SELECT *, previous = coalesce(lag(hash) OVER {_W}, repeat('0', 64)) AS linked FROM t),
-    v AS (SELECT event_id, event_type, hash, CASE WHEN data <> props THEN 'data' WHEN {_H('data', 'previous')} <> hash THEN 'hash' WHEN NOT linked THEN 'link' ELSE 'valid' END AS verdict FROM k)"""
+    v AS (SELECT event_id, event_type, user_id, run, index, hash, CASE WHEN data <> props THEN 'data' WHEN {_H('data', 'previous')} <> hash THEN 'hash' WHEN NOT linked THEN 'link' ELSE 'valid' END AS verdict FROM k)"""
 
 QUERIES = {
     "graph_counts": (graph_counts, f"WITH {_CHAIN} SELECT g, count(*) AS triples FROM q GROUP BY 1"),
