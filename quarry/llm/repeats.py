@@ -110,6 +110,25 @@ def _filter_of(repeated: DataFrame) -> np.ndarray:
     return bits
 
 
+def _without_copies(whole: DataFrame, copies: DataFrame) -> DataFrame:
+    """d, text of the rows of whole that are not in copies (d, s; a written table).
+
+    Rows whose id is surely none of the copies' pass a bitmap where they lie;
+    only the others' texts are shuffled to be told apart for certain.
+    """
+    bits = _filter_of(copies.select(F.xxhash64("d").alias("h")))
+    mask = np.uint64(len(bits) * 64 - 1)
+
+    @F.arrow_udf("boolean")
+    def maybe(hashes: pa.Array) -> pa.Array:
+        slot = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & mask
+        return pa.array((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1)
+
+    hit = maybe(F.xxhash64("d"))
+    told = whole.where(hit).withColumn("s", F.sha2("text", 256)).join(copies.select("d", "s").distinct(), ["d", "s"], "left_anti")
+    return whole.where(~hit).unionByName(told.select("d", "text"))
+
+
 def shard_repeats(contexts: list[bytes], many: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """(context, from, below): strings that an earlier context has too, or the same one further left.
 
@@ -179,7 +198,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), text_or_empty(text_col).alias("text"))
     copies = whole.groupBy(F.sha2("text", 256).alias("s")).agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = written(whole.select("d", F.sha2("text", 256).alias("s"), F.octet_length("text").cast("long").alias("bytes")).join(copies, "s").where("d > first").select("d", "s", "bytes"))
-    alone = whole.withColumn("s", F.sha2("text", 256)).join(copies.select("d", "s").distinct(), ["d", "s"], "left_anti").select("d", "text")
+    alone = _without_copies(whole, copies)
     seen = written(_anchor_rows(alone, length, gram, None, False).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     keep = _filter_of(seen)
     discard(seen)
