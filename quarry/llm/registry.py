@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-MODULES = ("winnow", "neardup", "bpe", "simhash", "chat", "packing", "repeats", "ppm", "toxicity", "linededup")
+MODULES = ("winnow", "neardup", "bpe", "simhash", "chat", "packing", "repeats", "ppm", "toxicity", "linededup", "divergence", "lexical", "licenses")
 
 
 def _all(name: str) -> dict:
