@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
 USERNAME = r"^[a-zA-Z0-9_-]{3,32}\z"
 BATCH_ID = r"^[A-Z0-9]{3,20}\z"
-URI = r"^https?://[^\s/$.?#][^\s]*\z|^[a-zA-Z][a-zA-Z0-9+.-]*:[^\s]*\z"
+URI = r"^https?://[^\s/$.?#].[^\s]*\z|^[a-zA-Z][a-zA-Z0-9+.-]*:[^\s]*\z"
 # Patterns that no value may hold.
 INJECTION = (r"(?i)(union|select|insert|update|delete|drop|create|alter|exec|execute)", r"(?i)(script|javascript|vbscript|onload|onerror)", r"""['";]""")
 
@@ -34,6 +34,11 @@ def injected(c: Column) -> Column:
     return c.rlike(INJECTION[0]) | c.rlike(INJECTION[1]) | c.rlike(INJECTION[2])
 
 
+def scripted(c: Column) -> Column:
+    """Whether a value holds a sign of markup, or `script` in lower case."""
+    return c.contains("<") | c.contains(">") | c.contains("script")
+
+
 def first_broken(**rules: Column) -> Column:
     """The name of the first rule that is broken, null if none is.
 

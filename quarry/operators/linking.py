@@ -14,11 +14,13 @@ def linked_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
     rows: id, block, name. Equal names are compared once: pairs are formed of the
     different names of a block, whose lengths must allow the threshold, and ids
-    are put back after. Ids of one name are all alike.
+    are put back after. Ids of one name are all alike. Edits are counted in
+    characters and set against the bytes of the longer name, so names may differ
+    by (1 - threshold) of those bytes in characters.
     """
     names = rows.select("block", F.lower("name").alias("n")).distinct()
     other = names.select("block", F.col("n").alias("m"))
-    near = names.join(other, "block").where((F.col("n") <= F.col("m")) & (F.least(F.length("n"), F.length("m")) >= threshold * F.greatest(F.length("n"), F.length("m")) - 1e-9))
+    near = names.join(other, "block").where((F.col("n") <= F.col("m")) & (F.abs(F.length("n") - F.length("m")) <= (1 - threshold) * F.greatest(F.octet_length("n"), F.octet_length("m")) + 1e-9))
     near = near.withColumn("similarity", edit_similarity(F.col("n"), F.col("m"))).where(F.col("similarity") >= threshold)
     left = rows.select("block", F.lower("name").alias("n"), F.col("id").alias("x"))
     right = rows.select("block", F.lower("name").alias("m"), F.col("id").alias("y"))
@@ -37,3 +39,20 @@ def rewired(edges: DataFrame, entities: DataFrame) -> DataFrame:
     a, b = entities.select(F.col("id").alias("src"), F.col("entity").alias("s")), entities.select(F.col("id").alias("dst"), F.col("entity").alias("d"))
     out = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("s", "src").alias("src"), "p", F.coalesce("d", "dst").alias("dst"))
     return out.where("src <> dst").distinct()
+
+
+def merged_records(entities: DataFrame, groups: DataFrame) -> DataFrame:
+    """One record for each group of entities: id, kind, label, properties, confidence, members (how many).
+
+    entities: id, kind, label, properties (map of texts), confidence; groups: id,
+    entity. The most confident entity of a group gives id, kind and label (the
+    smallest id of equal ones, a null confidence last); each property is its own
+    or else that of the next entity in this order that has it; confidence is the
+    mean, 1 at most.
+    """
+    ranked = entities.join(groups, "id").withColumn("order", F.struct(-F.coalesce("confidence", F.lit(-1.0)), "id"))
+    heads = ranked.groupBy("entity").agg(F.min_by(F.struct("id", "kind", "label"), "order").alias("head"), F.least(F.avg("confidence"), F.lit(1.0)).alias("confidence"), F.count(F.lit(1)).alias("members"))
+    each = ranked.select("entity", "order", F.explode("properties").alias("key", "value")).groupBy("entity", "key").agg(F.min_by("value", "order").alias("value"))
+    properties = each.groupBy("entity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
+    none = F.create_map().cast("map<string,string>")
+    return heads.join(properties, "entity", "left").select("head.*", F.coalesce("properties", none).alias("properties"), "confidence", "members")

@@ -138,8 +138,10 @@ def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("event_id", "verdict", action.alias("action"), (F.col("size") - F.col("index") - 1).cast("long").alias("follow"))
 
 
-_EMAIL, _USER, _BATCH, _URI = (x.replace("'", "''") for x in (fields.EMAIL, fields.USERNAME, fields.BATCH_ID, fields.URI))
-_BAD = " OR ".join("regexp_matches(uri, '" + x.replace("'", "''") + "')" for x in fields.INJECTION)
+# The patterns once more, as what the SQL goes by.
+_EMAIL, _USER, _BATCH = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", r"^[a-zA-Z0-9_-]{3,32}$", r"^[A-Z0-9]{3,20}$"
+_URI = r"^https?://[^\s/$.?#].[^\s]*$|^[a-zA-Z][a-zA-Z0-9+.-]*:[^\s]*$"
+_BAD = r"""regexp_matches(uri, '(?i)(union|select|insert|update|delete|drop|create|alter|exec|execute)') OR regexp_matches(uri, '(?i)(script|javascript|vbscript|onload|onerror)') OR regexp_matches(uri, '[''";]')"""
 _HEAD = "@prefix epcis: <https://ref.gs1.org/epcis/> .\n@prefix milk: <urn:milk#> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n\n<"
 _CONTEXT = '{"@context":["https://ref.gs1.org/standards/epcis/2.0.0/epcis-context.jsonld",{"milk":"urn:milk#"}],"@id":"urn:event/'
 _DAMAGED = 'a \\"damaged\\" \\\\ one'

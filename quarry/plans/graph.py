@@ -45,7 +45,7 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_stats(trade(spark, sf_dir)).select("nodes", "edges", F.round("density", 12).alias("density"))
 
 
-def communities_wcc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def communities_wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with all their orders, by connected components."""
     return weak_components(table(spark, sf_dir, "orders").select((-F.col("o_custkey") - 1).alias("src"), F.col("o_orderkey").alias("dst"))).groupBy((-F.col("component") - 1).alias("component")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -82,6 +82,5 @@ QUERIES = {
     "cycle_check": (cycle_check, f"WITH RECURSIVE {_GEO}, {_REACH} SELECT EXISTS (SELECT 1 FROM reach WHERE start = node) AS has_cycle"),
     "entity_relationships": (entity_relationships, f"WITH {_GEO} SELECT src, dst FROM geo WHERE src = 'n3' OR dst = 'n3'"),
     "implicit_nodes": (dangling, f"WITH {_GEO} SELECT node, 'Unknown' AS entity_type, 0.5::DOUBLE AS confidence FROM (SELECT src AS node FROM geo UNION SELECT dst FROM geo) WHERE node NOT IN (SELECT 'n' || n_nationkey FROM nation)"),
-    "communities_wcc_all": (communities_wcc_all, "SELECT o_custkey AS component, count(*) + 1 AS n FROM orders GROUP BY 1"),
+    "communities_wcc": (communities_wcc, "SELECT o_custkey AS component, count(*) + 1 AS n FROM orders GROUP BY 1"),
 }
-QUERIES["communities_wcc"] = QUERIES["communities_wcc_all"]

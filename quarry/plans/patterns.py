@@ -123,13 +123,13 @@ def top_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
-def path_plus_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def path_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order that has a next one, how many orders derive from it, over any number of steps."""
     e = _next_orders(spark, sf_dir).where("dst is not null").select("src", "dst")
     return reach(e, e.select(F.col("src").alias("start"))).groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("deepest"))
 
 
-def path_bounded_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def path_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of up to three steps from every order, with their nodes."""
     e = _next_orders(spark, sf_dir).where("dst is not null").select("src", "dst")
     found = bounded_paths(e, e.select(F.col("src").alias("start")).distinct(), 3)
@@ -161,11 +161,10 @@ QUERIES = {
         SELECT a.user_id, a.day, count(*) AS pairs FROM e a JOIN e b ON a.user_id = b.user_id AND a.day = b.day AND a.ts < b.ts GROUP BY 1, 2"""),
     "pagination": (pagination, "SELECT p_partkey, p_name, (SELECT CAST(ceil(count(*) / 20) AS BIGINT) FROM part) AS total_pages FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20"),
     "top_desc": (top_desc, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
-    "path_plus_all": (path_plus_all, """WITH later AS (SELECT o_orderkey AS start, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS n FROM orders)
+    "path_plus": (path_plus, """WITH later AS (SELECT o_orderkey AS start, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS n FROM orders)
         SELECT start, n, n AS deepest FROM later WHERE n > 0"""),
-    "path_bounded_all": (path_bounded_all, f"""WITH RECURSIVE {_NEXT}, e AS (SELECT src, dst FROM nxt WHERE dst IS NOT NULL),
+    "path_bounded": (path_bounded, f"""WITH RECURSIVE {_NEXT}, e AS (SELECT src, dst FROM nxt WHERE dst IS NOT NULL),
         r AS (SELECT src AS start, dst, src || '>' || dst AS nodes, 1 AS steps FROM e
               UNION ALL SELECT r.start, e.dst, r.nodes || '>' || e.dst, r.steps + 1 FROM r JOIN e ON r.dst = e.src WHERE r.steps < 3)
         SELECT start, nodes, steps FROM r"""),
 }
-QUERIES |= {name.removesuffix("_all"): QUERIES[name] for name in ("path_plus_all", "path_bounded_all")}

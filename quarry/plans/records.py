@@ -14,12 +14,12 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type").alias("block"), F.col("p_name").alias("name"))
 
 
-def entity_linking_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entity_linking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product names alike by edits, of all sizes, compared within brand and type."""
     return linked_pairs(_parts(spark, sf_dir), 0.8).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-def entity_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of products of all sizes that pairs alike by 0.8 join, over one another, too."""
     p = _parts(spark, sf_dir)
     return merged(p, linked_pairs(p, 0.8))
@@ -29,7 +29,7 @@ def phonetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", phonetic(F.col("p_name")).alias("code"))
 
 
-def jaccard_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(token_jaccard(F.col("p_name"), F.lit("small red ring")), 9).alias("likeness"))
 
 
@@ -96,11 +96,10 @@ QUERIES = {
     "content_classification": (content_classification, """SELECT CASE WHEN regexp_matches(lower(text), 'password|secret|api_key') THEN 'Restricted' WHEN regexp_matches(lower(text), '@|phone') THEN 'Confidential'
         WHEN regexp_matches(lower(text), 'license|copyright') THEN 'Internal' ELSE 'Public' END AS class, count(*) AS n FROM documents GROUP BY 1"""),
     "identifiers": (identifiers, """SELECT c_custkey, replace(replace(lower(c_name), ' ', '-'), '.', '') AS slug, regexp_replace(c_name, '[^A-Za-z0-9_-]+', '-', 'g') AS identifier, right(c_name, 8) AS serial FROM customer"""),
-    "entity_linking_pairs_all": (entity_linking_pairs_all, f"WITH {_ALL_PAIRS} SELECT a, b, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.8"),
-    "entity_groups_all": (entity_groups_all, f"""WITH RECURSIVE {_ALL_PAIRS}, e AS (SELECT a, b FROM s WHERE similarity >= 0.8 UNION ALL SELECT b, a FROM s WHERE similarity >= 0.8),
+    "entity_linking_pairs": (entity_linking_pairs, f"WITH {_ALL_PAIRS} SELECT a, b, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.8"),
+    "entity_groups": (entity_groups, f"""WITH RECURSIVE {_ALL_PAIRS}, e AS (SELECT a, b FROM s WHERE similarity >= 0.8 UNION ALL SELECT b, a FROM s WHERE similarity >= 0.8),
         r AS (SELECT id, id AS node FROM p UNION SELECT r.id, e.b FROM r JOIN e ON r.node = e.a)
         SELECT id, min(node) AS entity FROM r GROUP BY id"""),
-    "jaccard_names_all": (jaccard_names_all, """WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS x FROM part)
+    "jaccard_names": (jaccard_names, """WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS x FROM part)
         SELECT p_partkey, round(len(list_intersect(x, ['small', 'red', 'ring']))::DOUBLE / (len(x) + 3 - len(list_intersect(x, ['small', 'red', 'ring']))), 9) AS likeness FROM w"""),
 }
-QUERIES |= {name.removesuffix("_all"): QUERIES[name] for name in ("entity_linking_pairs_all", "entity_groups_all", "jaccard_names_all")}

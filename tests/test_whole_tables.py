@@ -25,9 +25,9 @@ def rows(spark, name, where):
 
 def test_paths_and_components(spark, tmp_path):
     chains = orders(spark, tmp_path)
-    assert rows(spark, "path_plus_all", tmp_path) == sorted((k, len(c) - i - 1, len(c) - i - 1) for c in chains.values() for i, k in enumerate(c[:-1]))
-    assert rows(spark, "path_bounded_all", tmp_path) == sorted((c[i], ">".join(map(str, c[i : i + n + 1])), n) for c in chains.values() for i in range(len(c)) for n in (1, 2, 3) if i + n < len(c))
-    assert rows(spark, "communities_wcc_all", tmp_path) == sorted((k, len(c) + 1) for k, c in chains.items())
+    assert rows(spark, "path_plus", tmp_path) == sorted((k, len(c) - i - 1, len(c) - i - 1) for c in chains.values() for i, k in enumerate(c[:-1]))
+    assert rows(spark, "path_bounded", tmp_path) == sorted((c[i], ">".join(map(str, c[i : i + n + 1])), n) for c in chains.values() for i in range(len(c)) for n in (1, 2, 3) if i + n < len(c))
+    assert rows(spark, "communities_wcc", tmp_path) == sorted((k, len(c) + 1) for k, c in chains.items())
 
 
 #: partkey, name, brand, type, size: all sizes above 10 and keys above 200; 301 and 303 only link over 302
@@ -49,7 +49,7 @@ def test_links_groups_and_names(spark, tmp_path):
         for b, m, *other in PARTS:
             if a < b and block[:2] == other[:2] and (s := 1 - distance(n.lower(), m.lower()) / max(len(n), len(m))) >= 0.8:
                 pairs.append((a, b, round(s, 9)))
-    assert rows(spark, "entity_linking_pairs_all", tmp_path) == sorted(pairs)
+    assert rows(spark, "entity_linking_pairs", tmp_path) == sorted(pairs)
     assert (301, 303) not in {(a, b) for a, b, _ in pairs}
-    assert rows(spark, "entity_groups_all", tmp_path) == [(301, 301), (302, 301), (303, 301), (304, 301), (305, 305), (306, 306)]
-    assert rows(spark, "jaccard_names_all", tmp_path) == [(301, 1.0), (302, 0.5), (303, 0.2), (304, 1.0), (305, 1.0), (306, 0.0)]
+    assert rows(spark, "entity_groups", tmp_path) == [(301, 301), (302, 301), (303, 301), (304, 301), (305, 305), (306, 306)]
+    assert rows(spark, "jaccard_names", tmp_path) == [(301, 1.0), (302, 0.5), (303, 0.2), (304, 1.0), (305, 1.0), (306, 0.0)]
