@@ -70,6 +70,19 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df.quarry_path)
 
 
+def with_row_keys(docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """docs with a long column key that tells rows apart and goes up with the id: the id itself where none repeats.
+
+    Where ids repeat, each row gets a number of its own by a range partitioning
+    of a written table; rows of one id come in the order of their columns that
+    can be ordered, so that equal tables get equal results. A null id comes first.
+    """
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    order = [id_col, *[c for c, kind in docs.dtypes if c != id_col and "map" not in kind and "variant" not in kind]]
+    return written(docs.repartitionByRange(id_col).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

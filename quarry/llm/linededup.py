@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, fresh, literal_longs, read, settle, text_or_empty, written
+from quarry.llm.common import discard, fresh, literal_longs, read, settle, text_or_empty, with_row_keys, written
 
 #: Jaccard similarity times ten of two lines that match: whole numbers keep the bounds exact.
 TENTHS = 8
@@ -125,7 +125,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the input counts as an earlier one, whether it is removed itself or not.
     Words are runs without ASCII white space, A to Z lower-cased. Lines of fewer
     than min_words different words, and texts with a null id, match nothing.
-    Rows that repeat an id and a text do not match each other.
+    No two rows may share an id: dedup_lines() gives them keys.
 
     Lines with equal sets are one set, at its first place. A set of n words is
     met under its n - ceil(0.8 n) + 1 rarest words by all others, but first, under
@@ -210,11 +210,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row that loses lines has the rest joined by line ends; n_removed tells how
     many (a column of docs with that name gives way). A text that loses all is
     empty. A null text stays null, and so does the text of a row without an id.
+    Rows that repeat an id are documents of their own, one after another.
     """
-    d, gone, split, n = fresh(docs, "d"), fresh(docs, "gone"), fresh(docs, "split"), "n_removed"
-    found = later_matches(docs, id_col, text_col, min_words).groupBy(F.col("d").alias(d)).agg(F.collect_set("l").alias(gone))
+    d, key, gone, split, n = fresh(docs, "d"), fresh(docs, "key"), fresh(docs, "gone"), fresh(docs, "split"), "n_removed"
+    keyed = with_row_keys(docs, id_col, key)
+    some = keyed.select(F.when(F.col(id_col).isNotNull(), F.col(key)).alias("d"), F.col(text_col).alias("text"))
+    found = later_matches(some, "d", "text", min_words).groupBy(F.col("d").alias(d)).agg(F.collect_set("l").alias(gone))
     # a projection of its own, so that a text is split once and not once for each line
-    joined = docs.join(found, F.col(id_col) == F.col(d), "left").select(*docs.columns, gone, F.when(F.col(gone).isNotNull(), F.split(text_col, "\n")).alias(split))
+    joined = keyed.join(found, F.col(key) == F.col(d), "left").select(*docs.columns, gone, F.when(F.col(gone).isNotNull(), F.split(text_col, "\n")).alias(split))
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     left = [F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() != n]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, fresh, read, settle, text_or_empty, written
+from quarry.llm.common import discard, fresh, read, settle, text_or_empty, with_row_keys, written
 from quarry.llm.suffix import suffix_array
 
 #: Bytes of a string that must not repeat, and of the grams that choose its shard.
@@ -17,7 +17,7 @@ LENGTH, GRAM = 100, 24
 #: Bits of the filter that tells which grams repeat: so many for each, up to a most (32 MB). A full filter costs time, not results.
 FILTER_EACH, FILTER_MOST = 16, 1 << 28
 #: Bytes of a shard that are sorted at a time; contexts of one gram beyond which its windows are grouped instead.
-SHARD_BYTES, CROWD = 1_000_000, 4_000
+SHARD_BYTES, CROWD = 800_000, 4_000
 #: Bytes of a text that anchors are looked for at a time.
 BLOCK = 1 << 19
 
@@ -156,7 +156,10 @@ def shard_repeats(contexts: list[bytes], many: np.ndarray, length: int) -> list[
 
 
 def _shards(rows: DataFrame, length: int) -> DataFrame:
-    """d, low, high: bytes of repeated strings. rows: h, d, lo, many, context, all contexts of a gram together."""
+    """d, low, high: bytes of repeated strings. rows: h, d, lo, many, k, context, all k contexts of a gram together.
+
+    A shard is sorted before a gram whose contexts may not fit in as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -170,8 +173,8 @@ def _shards(rows: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["d", "low", "high"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "lo", "many", "context"))):
-                if size > SHARD_BYTES and row[0] != held[-1][0]:
+            for *row, k in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "lo", "many", "context", "k"))):
+                if held and row[0] != held[-1][0] and size + k * 2 * length > SHARD_BYTES:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
@@ -186,8 +189,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """d, low, high: byte ranges whose strings of length bytes all start earlier, too; ranges may overlap.
 
     Earlier is a smaller id, or the same id and a smaller place. Ids must be
-    whole numbers; rows with a null id are left out. Rows that repeat an id are
-    taken for one document each, at the same places.
+    whole numbers that no two rows share; rows with a null id are left out.
 
     Every string is in the shard of its gram (Anchors), so equal strings meet.
     Only contexts whose gram occurs again go on; equal contexts are grouped, and
@@ -218,7 +220,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = written(cuts.select("x.h", "d", "x.lo", "x.many", "x.k", F.substring("data", F.col("x.lo").cast("int") + 1, (F.col("x.many") + (length - 1)).cast("int")).alias("context")))
     discard(firsts)
     settle(docs.sparkSession)
-    spans.append(_shards(cut.where(F.col("k") <= CROWD).select("h", "d", "lo", "many", "context"), length))
+    spans.append(_shards(cut.where(F.col("k") <= CROWD).select("h", "d", "lo", "many", "k", "context"), length))
     strings = cut.where(F.col("k") > CROWD).select("d", "lo", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("many").cast("int")), lambda i: F.substring(F.col("context"), i, F.lit(length)))).alias("o", "string")).select("d", (F.col("lo") + F.col("o")).alias("low"), "string")
     earliest = strings.groupBy("string").agg(F.min(F.struct("d", "low")).alias("at"))
     spans.append(strings.join(earliest, "string").where("d > at.d or (d = at.d and low > at.low)").select("d", "low", (F.col("low") + length).alias("high")))
@@ -272,13 +274,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs, and kept binary: the bytes of each text outside its repeated spans; n_bytes, n_removed, n_spans long.
 
     A null text is an empty one. Every row stays, with all its columns, but for
-    those of the four names, which give way. Rows that repeat an id share their
-    spans. With whole_chars a span that begins or ends inside a character leaves
-    it whole.
+    those of the four names, which give way. Rows that repeat an id are documents
+    of their own, one after another; a row with a null id loses nothing. With
+    whole_chars a span that begins or ends inside a character leaves it whole.
     """
-    d, found, out = fresh(docs, "d"), fresh(docs, "spans"), fresh(docs, "out")
-    spans = repeated_spans(docs, id_col, text_col, length, gram).groupBy(F.col("d").alias(d)).agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias(found))
-    rows = docs.join(spans, F.col(id_col).cast("long") == F.col(d), "left").withColumn(out, _without(whole_chars)(text_or_empty(text_col), F.col(found)))
+    d, key, found, out = fresh(docs, "d"), fresh(docs, "key"), fresh(docs, "spans"), fresh(docs, "out")
+    keyed = with_row_keys(docs, id_col, key)
+    some = keyed.select(F.when(F.col(id_col).isNotNull(), F.col(key)).alias("d"), F.col(text_col).alias("text"))
+    spans = repeated_spans(some, "d", "text", length, gram).groupBy(F.col("d").alias(d)).agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias(found))
+    rows = keyed.join(spans, F.col(key) == F.col(d), "left").withColumn(out, _without(whole_chars)(text_or_empty(text_col), F.col(found)))
     return rows.select(*[c for c in docs.columns if c.lower() not in ("kept", "n_bytes", "n_removed", "n_spans")], f"{out}.*")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.chunks import slices
-from quarry.llm.common import components, discard, lower_ascii, read, settle, text_or_empty, written
+from quarry.llm.common import components, discard, fresh, lower_ascii, read, settle, text_or_empty, with_row_keys, written
 
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 3
 #: Jaccard similarity times ten of two near texts, counters that shingles are counted in, and rarest shingles under which a set first meets the smallest.
@@ -343,12 +343,14 @@ def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id, with the columns that it came with.
 
     Near are texts whose sets of shingles have a Jaccard similarity of 0.8 or
-    more. Texts without words are alike. Rows with a null doc_id are kept. Of
-    repeated rows with that smallest id all stay.
+    more. Texts without words are alike. Rows with a null doc_id are kept. Rows
+    that repeat an id are documents of their own, one after another.
     """
-    found = near_sets(docs.where("doc_id is not null"), shingle)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key, gone = fresh(docs, "key"), fresh(docs, "gone")
+    keyed = with_row_keys(docs, "doc_id", key)
+    found = near_sets(keyed.where("doc_id is not null").select(F.col(key).alias("doc_id"), "text"), shingle)
+    later = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return keyed.join(later, F.col("doc_id").isNotNull() & (F.col(key) == F.col(gone)), "left_anti").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
