@@ -20,13 +20,16 @@ def rates(events: DataFrame, width: str = "1 minute", late: str = "10 minutes")
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def in_order(blocks: DataFrame) -> DataFrame:
+def in_order(blocks: DataFrame, remember: int | None = None) -> DataFrame:
     """Blocks of each chain in order of index, whatever order they come in.
 
     blocks: chain, index, timestamp, hash. Emits chain, index, timestamp, hash,
     action: append for the next block; conflict for another hash at an index that
     is there (the earlier timestamp wins, and is emitted). Repeats are dropped.
     Blocks that come too early are kept in the state until the gap is filled.
+    With remember, only so many of a chain's last blocks are kept to tell
+    conflicts by; what comes for an earlier index is dropped, and the state does
+    not grow with the chain.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,6 +39,8 @@ def in_order(blocks: DataFrame) -> DataFrame:
         out = []
         for batch in batches:
             for index, stamp, hash_ in zip(batch["index"].tolist(), batch["timestamp"].tolist(), batch["hash"].tolist()):
+                if remember is not None and index < following - remember:
+                    continue
                 where = kept if index < following else held
                 old = where.get(index)
                 if old is None:
@@ -48,6 +53,8 @@ def in_order(blocks: DataFrame) -> DataFrame:
             kept[following] = held.pop(following)
             out.append((key[0], *kept[following], "append"))
             following += 1
+        if remember is not None:
+            kept = {i: row for i, row in kept.items() if i >= following - remember}
         state.update((following, [tuple(r) for r in held.values()], [tuple(r) for r in kept.values()]))
         yield pd.DataFrame(out, columns=["chain", "index", "timestamp", "hash", "action"])
 
