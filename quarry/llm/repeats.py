@@ -70,32 +70,44 @@ class Anchors:
         return out
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int, keep: np.ndarray | None, full: bool) -> DataFrame:
-    """h, and with full also c, d, lo, many, of all contexts of docs (d, text) whose gram keep lets through."""
-    sent = docs.sparkSession.sparkContext.broadcast(keep)
+def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes a bitmap has."""
+    slot = hashes & np.uint64(64 * len(bits) - 1)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _anchor_rows(docs: DataFrame, length: int, gram: int, keep: np.ndarray | None, full: bool, skip: np.ndarray | None = None) -> DataFrame:
+    """h, and with full also c, d, lo, many, of all contexts of docs (d, text) whose gram keep lets through, but for ids that skip has."""
+    sent = docs.sparkSession.sparkContext.broadcast((keep, skip))
     names = ["h", "c", "d", "lo", "many"] if full else ["h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, bits = Anchors(length, gram), sent.value
+        anchors, (bits, left_out) = Anchors(length, gram), sent.value
+
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*held)], names)
+
         for batch in batches:
             ids, texts = batch.column("d").to_numpy(zero_copy_only=False), batch.column("text")
+            gone = _in(left_out, batch.column("x").to_numpy().view(np.uint64)) if left_out is not None else np.zeros(len(ids), dtype=bool)
             held, rows = [], 0
             for i, text in enumerate(texts):
+                if gone[i]:
+                    continue
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8) if len(text.as_py()) >= length // 4 else np.zeros(0, np.uint8)
                 for h, c, lo, many in anchors(data):
                     if bits is not None:
-                        slot = h & np.uint64(64 * len(bits) - 1)
-                        ok = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                        ok = _in(bits, h)
                         h, c, lo, many = h[ok], c[ok], lo[ok], many[ok]
                     held.append((h, c, np.full(len(h), ids[i]), lo, many) if full else (h,))
                     rows += len(h)
-                if rows > 200_000 or i + 1 == len(texts):
-                    if rows:
-                        cols = [np.concatenate(x) for x in zip(*held)]
-                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], names)
+                if rows > 200_000:
+                    yield out(held)
                     held, rows = [], 0
+            if rows:
+                yield out(held)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("d", "text", F.xxhash64("d").alias("x")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _filter_of(repeated: DataFrame) -> np.ndarray:
@@ -110,23 +122,15 @@ def _filter_of(repeated: DataFrame) -> np.ndarray:
     return bits
 
 
-def _without_copies(whole: DataFrame, copies: DataFrame) -> DataFrame:
-    """d, text of the rows of whole that are not in copies (d, s; a written table).
-
-    Rows whose id is surely none of the copies' pass a bitmap where they lie;
-    only the others' texts are shuffled to be told apart for certain.
-    """
-    bits = _filter_of(copies.select(F.xxhash64("d").alias("h")))
-    mask = np.uint64(len(bits) * 64 - 1)
+def _perhaps(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """d, text of the rows of docs whose id the bitmap has."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-    @F.arrow_udf("boolean")
-    def maybe(hashes: pa.Array) -> pa.Array:
-        slot = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & mask
-        return pa.array((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in(sent.value, batch.column("x").to_numpy().view(np.uint64)))).select(["d", "text"])
 
-    hit = maybe(F.xxhash64("d"))
-    told = whole.where(hit).withColumn("s", F.sha2("text", 256)).join(copies.select("d", "s").distinct(), ["d", "s"], "left_anti")
-    return whole.where(~hit).unionByName(told.select("d", "text"))
+    return docs.select("d", "text", F.xxhash64("d").alias("x")).mapInArrow(run, "d long, text string")
 
 
 def shard_repeats(contexts: list[bytes], many: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -199,13 +203,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), text_or_empty(text_col).alias("text"))
     copies = whole.groupBy(F.sha2("text", 256).alias("s")).agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = written(whole.select("d", F.sha2("text", 256).alias("s"), F.octet_length("text").cast("long").alias("bytes")).join(copies, "s").where("d > first").select("d", "s", "bytes"))
-    alone = _without_copies(whole, copies)
-    seen = written(_anchor_rows(alone, length, gram, None, False).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    copies = written(whole.select("d", F.sha2("text", 256).alias("s"), F.octet_length("text").cast("long").alias("bytes")).join(copies, "s").where("d > first").select("d", "bytes"))
+    # most texts are surely no copies, which a bitmap of the copies' ids tells where they lie; the others are told apart by a join
+    copied = _filter_of(copies.select(F.xxhash64("d").alias("h")))
+    told = written(_perhaps(whole, copied).join(copies.select("d"), "d", "left_anti"))
+
+    def anchored(keep: np.ndarray | None, full: bool) -> DataFrame:
+        return _anchor_rows(whole, length, gram, keep, full, copied).unionByName(_anchor_rows(told, length, gram, keep, full))
+
+    seen = written(anchored(None, False).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     keep = _filter_of(seen)
     discard(seen)
     settle(docs.sparkSession)
-    contexts = written(_anchor_rows(alone, length, gram, keep, True))
+    contexts = written(anchored(keep, True))
+    discard(told)
     settle(docs.sparkSession)
     firsts = written(contexts.groupBy("h", "c").agg(F.min(F.struct("d", "lo", "many")).alias("at"), F.count(F.lit(1)).alias("n")).select("h", "c", "at.*", "n"))
     again = contexts.join(firsts.where("n > 1").select("h", "c", F.col("d").alias("fd"), F.col("lo").alias("fl")), ["h", "c"]).where("d > fd or (d = fd and lo > fl)")
@@ -216,7 +227,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     different = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     to_cut = firsts.join(different, "h").groupBy("d").agg(F.collect_list(F.struct("h", "lo", "many", "k")).alias("cuts"))
-    cuts = alone.join(to_cut, "d").select("d", F.encode("text", "UTF-8").alias("data"), F.explode("cuts").alias("x"))
+    cuts = whole.join(to_cut, "d").select("d", F.encode("text", "UTF-8").alias("data"), F.explode("cuts").alias("x"))
     cut = written(cuts.select("x.h", "d", "x.lo", "x.many", "x.k", F.substring("data", F.col("x.lo").cast("int") + 1, (F.col("x.many") + (length - 1)).cast("int")).alias("context")))
     discard(firsts)
     settle(docs.sparkSession)
