@@ -7,22 +7,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.strings import edit_similarity, phonetic
+from quarry.operators.canonical import complexity
+from quarry.operators.endpoints import bindings, items
 from quarry.operators.ledger import block_hash
 from quarry.plans.tables import table
 
 TYPES = {"N": "urn:core#Product", "A": "urn:core#Batch", "R": "urn:core#Activity"}
 
 
-def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """g, s, p, o, o_kind: a graph for each order, with what its line items are, who made them and when; a set of quads."""
+def chain(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """g, s, p, o, o_kind: a graph for each order, with what its line items are, who made them and when; a set of quads. With only, those of some predicates."""
+    return chain_rows(spark, sf_dir, *only).distinct()
+
+
+def chain_rows(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """chain() with repeated quads; predicates that are not asked for are not made."""
     li = table(spark, sf_dir, "lineitem")
     item = F.concat(F.lit("urn:item/"), "l_orderkey", F.lit("-"), "l_linenumber")
     blank = F.concat(F.lit("_:b"), "l_orderkey", F.lit("x"), "l_linenumber")
     kind = F.coalesce(*[F.when(F.col("l_returnflag") == k, F.lit(v)) for k, v in TYPES.items()])
-    row = lambda s, p, o, k, where=True: F.when(F.lit(where) if where is True else where, F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind")))
+    row = lambda s, p, o, k, where=True: None if only and p not in only else F.when(F.lit(where) if where is True else where, F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind")))
     rows = [row(item, "urn:rdf#type", kind, "iri"), row(item, "urn:core#producedBy", F.concat(F.lit("urn:supplier/"), "l_suppkey"), "iri"), row(item, "urn:core#batchId", F.concat(F.lit("B"), "l_partkey"), "literal"), row(item, "urn:core#shipDate", F.date_format("l_shipdate", "yyyy-MM-dd"), "literal"), row(item, "urn:core#location", blank, "bnode", F.col("l_linenumber") <= 2), row(blank, "urn:core#label", F.concat(F.lit("Site "), "l_suppkey"), "literal", F.col("l_linenumber") == 1)]
-    quads = li.select(F.concat(F.lit("urn:block/"), "l_orderkey").alias("g"), F.explode(F.array(*rows)).alias("q")).where("q is not null")
-    return quads.select("g", "q.*").distinct()
+    quads = li.select(F.concat(F.lit("urn:block/"), "l_orderkey").alias("g"), F.explode(F.array(*[r for r in rows if r is not None])).alias("q")).where("q is not null")
+    return quads.select("g", "q.*")
 
 
 _CHAIN = """i AS (SELECT *, 'urn:block/' || l_orderkey AS g, 'urn:item/' || l_orderkey || '-' || l_linenumber AS item, '_:b' || l_orderkey || 'x' || l_linenumber AS blank FROM lineitem),
@@ -46,22 +53,25 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples, distinct terms and the namespaces of the predicates of each graph."""
+    """Triples, distinct terms and the namespaces of the predicates of each graph.
+
+    Graphs are of block size: each is gathered once, and its terms counted in sets.
+    """
     space = F.when(F.col("p").contains("#"), F.substring_index("p", "#", 1)).otherwise(F.regexp_replace("p", "/[^/]*$", ""))
-    return chain(spark, sf_dir).groupBy("g").agg(_n().alias("triples"), F.countDistinct("s").alias("subjects"), F.countDistinct("p").alias("predicates"), F.countDistinct("o").alias("objects"), F.array_join(F.array_sort(F.collect_set(space)), " ").alias("namespaces"))
+    n = lambda c: F.size(F.collect_set(c)).cast("long")
+    return chain_rows(spark, sf_dir).repartition("g").groupBy("g").agg(n(F.struct("s", "p", "o", "o_kind")).alias("triples"), n("s").alias("subjects"), n("p").alias("predicates"), n("o").alias("objects"), F.array_join(F.array_sort(F.collect_set(space)), " ").alias("namespaces"))
 
 
 def product_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each batch: steps, different makers and places, and days between the first and the last."""
-    q = chain(spark, sf_dir)
-    of = lambda p, c: q.where(F.col("p") == p).select("g", "s", F.col("o").alias(c))
-    rows = of("urn:core#batchId", "batch").join(of("urn:core#producedBy", "maker"), ["g", "s"]).join(of("urn:core#shipDate", "day"), ["g", "s"]).join(of("urn:core#location", "place"), ["g", "s"], "left")
+    """Of each batch: steps, different makers and places, and days between the first and the last: an item's parts are gathered once."""
+    parts = {"batch": "urn:core#batchId", "maker": "urn:core#producedBy", "day": "urn:core#shipDate", "place": "urn:core#location"}
+    rows = bindings(items(chain_rows(spark, sf_dir, *parts.values()), parts, ["batch", "maker", "day"]), list(parts))
     return rows.groupBy("batch").agg(F.countDistinct("s").alias("steps"), F.countDistinct("maker").alias("makers"), F.countDistinct("place").alias("places"), F.datediff(F.max(F.to_date("day")), F.min(F.to_date("day"))).alias("days"))
 
 
 def type_disjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that are a product or a batch, counted by both terms."""
-    return chain(spark, sf_dir).where((F.col("p") == "urn:rdf#type") & F.col("o").isin("urn:core#Product", "urn:core#Batch")).groupBy("o").agg(F.countDistinct("s").alias("items"))
+    return chain_rows(spark, sf_dir, "urn:rdf#type").where(F.col("o").isin("urn:core#Product", "urn:core#Batch")).groupBy("o").agg(F.countDistinct("s").alias("items"))
 
 
 def blank_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +87,12 @@ def property_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products that have all of the given properties."""
     want = {"urn:rdf#type": "urn:core#Product", "urn:core#producedBy": "urn:supplier/3"}
     hit = F.coalesce(*[F.when((F.col("p") == p) & (F.col("o") == o), F.lit(p)) for p, o in want.items()])
-    return chain(spark, sf_dir).withColumn("hit", hit).where("hit is not null").groupBy("g", "s").agg(F.countDistinct("hit").alias("n")).where(f"n = {len(want)}").select("g", "s")
+    return chain_rows(spark, sf_dir, *want).withColumn("hit", hit).where("hit is not null").groupBy("g", "s").agg(F.countDistinct("hit").alias("n")).where(f"n = {len(want)}").select("g", "s")
 
 
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items shipped within a range of days, both ends included, by day."""
-    return chain(spark, sf_dir).where((F.col("p") == "urn:core#shipDate") & F.col("o").between("1997-01-01", "1997-06-30")).groupBy(F.col("o").alias("day")).agg(_n().alias("n"))
+    return chain(spark, sf_dir, "urn:core#shipDate").where(F.col("o").between("1997-01-01", "1997-06-30")).groupBy(F.col("o").alias("day")).agg(_n().alias("n"))
 
 
 def orphan_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,18 +147,8 @@ def _blank_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How hard a graph's blank nodes are to name: by their number, its size, and how they hang together."""
-    q = _blank_graphs(spark, sf_dir)
-    blank = lambda c: F.col(c).startswith("_:")
-    size = q.groupBy("g").agg(_n().alias("triples"))
-    nodes = q.where(blank("s")).select("g", F.col("s").alias("b")).unionByName(q.where(blank("o")).select("g", F.col("o").alias("b"))).distinct()
-    links = q.where(blank("s") & blank("o"))
-    links = links.select("g", F.col("s").alias("b"), F.col("o").alias("c")).unionByName(links.select("g", F.col("o").alias("b"), F.col("s").alias("c"))).distinct()
-    each = nodes.join(links.groupBy("g", "b").agg(_n().alias("links")), ["g", "b"], "left").groupBy("g").agg(_n().alias("blanks"), F.max(F.coalesce("links", F.lit(0))).alias("most"), F.sum(F.coalesce("links", F.lit(0))).alias("all_links"))
-    c = size.join(each, "g", "left").select("g", "triples", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("blanks", "most", "all_links")])
-    few, some = (F.col("blanks") <= 3) & (F.col("triples") <= 50), (F.col("blanks") <= 10) & (F.col("triples") <= 200)
-    mean = F.col("all_links") / F.nullif("blanks", F.lit(0))
-    kind = F.when(F.col("blanks") == 0, "Simple").when(few & (F.col("most") <= 1), "Simple").when(few & (F.col("most") <= 2), "Moderate").when(some & (mean <= 1.5) & (F.col("most") <= 2), "Moderate").when(some & ((mean <= 3.0) | (F.col("most") > 2)), "Complex").otherwise("Pathological")
-    return c.select("g", "triples", "blanks", "most", kind.alias("complexity"))
+    kind = lambda c: F.when(F.col(c).startswith("_:"), "bnode").otherwise("iri").alias(f"{c}_kind")
+    return complexity(_blank_graphs(spark, sf_dir).select("g", "s", kind("s"), "p", "o", kind("o")))
 
 
 def chain_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
