@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "patterns", "graph", "ledger", "analytics", "records", "supply", "quads", "checks", "structures", "knowledge", "documents", "rules", "endpoints")
+MODULES = ("aggregates", "patterns", "graph", "ledger", "analytics", "records", "supply", "quads", "checks", "structures", "knowledge", "documents", "rules", "endpoints", "gates")
 
 
 def _modules():
