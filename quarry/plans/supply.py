@@ -136,9 +136,21 @@ def supplier_quality_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overall_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The overall risk of a chain from its three fixed parts."""
-    rows = spark.createDataFrame([("supplier", 0.2, 0.4), ("quality", 0.15, 0.3), ("compliance", 0.1, 0.3)], "part string, score double, weight double")
-    return rows.agg(F.round(F.sum(F.col("score") * F.col("weight")), 9).alias("risk")).select("risk", R.risk_level(F.col("risk")).alias("level"))
+    """The overall risk of each region's chain: suppliers in debt, items at a deep discount, orders left open; fixed parts where nothing is measured."""
+    share = lambda c: F.count(F.when(c, 1)) / F.count(F.lit(1))
+    region = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    s = table(spark, sf_dir, "supplier").join(region, F.col("s_nationkey") == F.col("nation"))
+    supplier = s.groupBy("region").agg(share(F.col("s_acctbal") < 0).alias("supplier"))
+    quality = table(spark, sf_dir, "lineitem").join(s.select("s_suppkey", "region"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("region").agg(share(F.col("l_discount") > 0.08).alias("quality"))
+    c = table(spark, sf_dir, "customer").join(region, F.col("c_nationkey") == F.col("nation")).select("c_custkey", "region")
+    compliance = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("region").agg(share(F.col("o_orderstatus") == "P").alias("compliance"))
+    # The parts that stand in, and their weights.
+    parts = {"supplier": (0.2, 0.4), "quality": (0.15, 0.3), "compliance": (0.1, 0.3)}
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"))
+    for found in (supplier, quality, compliance):
+        rows = rows.join(found, "region", "left")
+    risk = sum((F.coalesce(name, F.lit(fixed)) * weight for name, (fixed, weight) in parts.items()), F.lit(0.0))
+    return rows.select("region", F.round(risk, 9).alias("risk")).select("region", "risk", R.risk_level(F.col("risk")).alias("level"))
 
 
 def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +267,10 @@ QUERIES = {
         s AS (SELECT s_suppkey, s_acctbal, (['Farmer', 'Manufacturer', 'LogisticsProvider'])[s_suppkey % 3 + 1] AS kind, (['Local farm', 'Houston, US', 'Lyon', NULL])[s_nationkey % 4 + 1] AS place, rate FROM supplier LEFT JOIN l ON s_suppkey = l_suppkey),
         r AS (SELECT s_suppkey, kind, (CASE WHEN s_acctbal > 5000 THEN 0 ELSE 0.3 END + CASE kind WHEN 'Manufacturer' THEN 0.05 ELSE 0.15 END + CASE WHEN lower(place) LIKE '%local%' OR lower(place) LIKE '%us%' THEN 0 ELSE 0.15 END + CASE WHEN rate < 0.9 THEN 0.2 WHEN rate < 0.95 THEN 0.1 ELSE 0 END)::DOUBLE AS risk FROM s WHERE kind <> 'LogisticsProvider')
         SELECT * FROM r WHERE risk > 0.4"""),
-    "overall_risk": (overall_risk, "SELECT 0.155::DOUBLE AS risk, 'Low' AS level"),
+    "overall_risk": (overall_risk, """WITH s AS (SELECT s_suppkey, s_acctbal, n_regionkey AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey), a AS (SELECT region, avg((s_acctbal < 0)::INTEGER) AS x FROM s GROUP BY 1),
+          q AS (SELECT region, avg((l_discount > 0.08::DOUBLE)::INTEGER) AS x FROM lineitem JOIN s ON l_suppkey = s_suppkey GROUP BY 1), c AS (SELECT n_regionkey AS region, avg((o_orderstatus = 'P')::INTEGER) AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1),
+          r AS (SELECT r_regionkey AS region, round(coalesce(a.x, 0.2) * 0.4 + coalesce(q.x, 0.15) * 0.3 + coalesce(c.x, 0.1) * 0.3, 9) AS risk FROM region LEFT JOIN a ON a.region = r_regionkey LEFT JOIN q ON q.region = r_regionkey LEFT JOIN c ON c.region = r_regionkey)
+        SELECT region, risk, CASE WHEN risk < 0.25 THEN 'Low' WHEN risk < 0.5 THEN 'Medium' WHEN risk < 0.75 THEN 'High' ELSE 'Critical' END AS level FROM r"""),
     "type_distribution": (type_distribution, f"""WITH t AS (SELECT p_name || ' ' || (['production run', 'PROCESSING', 'transport', 'quality check', 'transfer', 'environmental', 'compliance', 'vote'])[p_partkey % 8 + 1] AS text FROM part WHERE p_size <> 50 OR p_partkey % 8 <> 4),
         n AS (SELECT {_WORDED} AS kind, count(*) AS n FROM t GROUP BY 1)
         SELECT k.kind, coalesce(n.n, 0) AS n FROM (SELECT unnest({R.KINDS}) AS kind) k LEFT JOIN n ON k.kind = n.kind"""),
