@@ -23,12 +23,12 @@ def triple_hash() -> Column:
     return F.sha2(F.concat(s, F.concat(F.lit("<"), F.col("p"), F.lit(">")), o), 256)
 
 
-def graph_hash(quads: DataFrame) -> DataFrame:
-    """g, hash: of the sorted different triple hashes of each named graph.
+def graph_hash(quads: DataFrame, *more: Column) -> DataFrame:
+    """g, hash: of the sorted different triple hashes of each named graph; more are further aggregates of its quads.
 
     A graph is hashed in one row, so graphs should be of block size.
     """
-    return quads.where("g is not null").groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(triple_hash())), ""), 256).alias("hash"))
+    return quads.where("g is not null").groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(triple_hash())), ""), 256).alias("hash"), *more)
 
 
 def merkle_root(leaves: DataFrame, col: str = "hash") -> DataFrame:

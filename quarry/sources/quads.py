@@ -174,10 +174,12 @@ def turtle_triples(text: str) -> list[tuple]:
     return [(s[0], s[1], p, o[0], o[1], o[2], o[3]) for s, p, o in out]
 
 
-def parse_turtle(files: DataFrame, text: str = "text", graph: str = "g", strict: bool = False, raw_predicate: str = "urn:quarry:hasData") -> DataFrame:
+def parse_turtle(files: DataFrame, text: str = "text", graph: str = "g", strict: bool = False, raw_predicate: str = "urn:quarry:hasData", by_graph: bool = False) -> DataFrame:
     """Quads of Turtle documents, each into its row's graph; blank nodes are told apart by graph.
 
     A document that does not parse is one quad that holds it as a literal, or an error if strict.
+    With by_graph, quads are dealt out by graph, so that grouping them by g takes no other
+    shuffle: for many graphs of block size.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +194,8 @@ def parse_turtle(files: DataFrame, text: str = "text", graph: str = "g", strict:
                     out.append((g, g or "urn:quarry:document", "iri", raw_predicate, t, "literal", None, None))
             yield pd.DataFrame(out, columns=COLUMNS)
 
-    return files.select(F.col(graph).alias("g"), F.col(text).alias("t")).mapInPandas(run, SCHEMA).dropDuplicates()
+    quads = files.select(F.col(graph).alias("g"), F.col(text).alias("t")).mapInPandas(run, SCHEMA)
+    return (quads.repartition("g") if by_graph else quads).dropDuplicates()
 
 
 def read_turtle(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
