@@ -13,9 +13,10 @@ def reach(edges: DataFrame, starts: DataFrame, steps: int | None = None) -> Data
 
     starts: one column, start. Only pairs that are new in a step go on to the
     next, so cycles end and each pair is joined once; the loop ends with the step
-    that finds nothing. A start that lies on a cycle reaches itself.
+    that finds nothing. A start that lies on a cycle reaches itself. Edges are
+    computed once, not in each round.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = stored(edges.select("src", "dst").distinct())
     front = stored(starts.select("start").distinct().join(edges, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().withColumn("dist", F.lit(1)))
     found, step = front, 1
     while (steps is None or step < steps) and not front.isEmpty():

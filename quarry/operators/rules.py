@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.closure import reach
+from quarry.operators.stage import stored
 from quarry.sources.quads import RDF
 
 OWL, SUBCLASS = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2000/01/rdf-schema#subClassOf"
@@ -75,17 +76,21 @@ def qualified_violations(quads: DataFrame, type_of: str = RDF + "type") -> DataF
     checked, also one without fillers; a filler counts once, under its name.
     """
     facts = {"onProperty": "property", "onClass": "filler", "qualifiedCardinality": "exactly", "minQualifiedCardinality": "min", "maxQualifiedCardinality": "max"}
-    parts = quads.where(F.col("p").isin(*[OWL + n for n in facts])).groupBy(F.col("s").alias("restriction")).agg(*[F.min(F.when(F.col("p") == OWL + n, F.col("o"))).alias(c) for n, c in facts.items()])
+    told = stored(quads.where(F.col("p").isin(SUBCLASS, *[OWL + n for n in facts])))  # the ontology: the quads of the instances are not read for it in each round
+    parts = told.where(F.col("p") != SUBCLASS).groupBy(F.col("s").alias("restriction")).agg(*[F.min(F.when(F.col("p") == OWL + n, F.col("o"))).alias(c) for n, c in facts.items()])
     bounds = F.array_compact(F.array(*[F.when(F.col(k).try_cast("long").isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).try_cast("long").alias("wanted"))) for k in ("exactly", "min", "max")]))
     rules = parts.where("property is not null and filler is not null").select("restriction", "property", "filler", F.explode(bounds).alias("b")).select("restriction", "property", "filler", "b.*")
-    edges = quads.where(F.col("p") == SUBCLASS).select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
-    up = reach(edges, edges.select(F.col("src").alias("start")).distinct()).select(F.col("start").alias("sub"), F.col("node").alias("above"))
-    rules = rules.join(edges.select(F.col("src").alias("class"), F.col("dst").alias("restriction")), "restriction").drop("restriction").distinct()
-    types = quads.where(F.col("p") == type_of).select("s", F.col("o").alias("class")).distinct()
-    every = types.join(up.select(F.col("sub").alias("class"), "above"), "class", "left").select("s", F.explode(F.array_compact(F.array("class", "above"))).alias("class")).distinct()
-    bound = every.join(rules, "class")
-    fillers = quads.join(rules.select(F.col("property").alias("p")).distinct(), "p", "left_semi").select("s", F.col("p").alias("property"), F.col("o").alias("o")).distinct()
-    counted = fillers.join(every.select(F.col("s").alias("o"), F.col("class").alias("filler")), "o").groupBy("s", "property", "filler").agg(F.count(F.lit(1)).alias("found"))
+    edges = told.where(F.col("p") == SUBCLASS).select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
+    up = stored(reach(edges, edges.select(F.col("src").alias("start")).distinct()).select(F.col("start").alias("sub"), F.col("node").alias("above")))
+    rules = stored(rules.join(edges.select(F.col("src").alias("class"), F.col("dst").alias("restriction")), "restriction").drop("restriction").distinct())
+    # only what a restriction asks of counts: instances and fillers are lifted to those classes alone, and shuffled once
+    asked = rules.select(F.explode(F.array("class", "filler")).alias("above")).distinct()
+    lift = stored(up.join(asked, "above", "left_semi").unionByName(asked.select(F.col("above").alias("sub"), "above")).distinct())
+    typed = quads.where(F.col("p") == type_of).select("s", F.col("o").alias("sub"))
+    lifted = lambda side: typed.join(lift.join(rules.select(F.col(side).alias("above")).distinct(), "above", "left_semi"), "sub").select("s", F.col("above").alias(side)).repartition("s").distinct()
+    bound = lifted("class").join(rules, "class")
+    fillers = quads.join(rules.select(F.col("property").alias("p")).distinct(), "p", "left_semi").select("s", F.col("p").alias("property"), "o").repartition("o").distinct()
+    counted = fillers.join(lifted("filler").withColumnRenamed("s", "o"), "o").groupBy("s", "property", "filler").agg(F.count(F.lit(1)).alias("found"))
     checked = bound.join(counted, ["s", "property", "filler"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
     wrong = F.when(F.col("kind") == "exactly", F.col("found") != F.col("wanted")).when(F.col("kind") == "min", F.col("found") < F.col("wanted")).otherwise(F.col("found") > F.col("wanted"))
     return checked.where(wrong).select("s", "class", "property", "filler", "kind", "wanted", "found")
