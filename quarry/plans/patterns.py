@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.operators.closure import bounded_paths, reach
+from quarry.operators.pointers import depths
+from quarry.operators.stage import stored
 from quarry.plans.tables import table
 
 
@@ -125,8 +127,12 @@ def top_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order that has a next one, how many orders derive from it, over any number of steps."""
-    e = _next_orders(spark, sf_dir).where("dst is not null").select("src", "dst")
-    return reach(e, e.select(F.col("src").alias("start"))).groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("deepest"))
+    links = stored(_next_orders(spark, sf_dir).select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    if not links.groupBy("node").count().where("count > 1").isEmpty():  # rows that repeat an order's key: it has several next ones
+        e = links.where("next is not null").select(F.col("node").alias("src"), F.col("next").alias("dst"))
+        return reach(e, e.select(F.col("src").alias("start"))).groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("deepest"))
+    # with one next order at most, as many derive from an order as it is deep: no pairs are formed
+    return depths(links).where("depth > 0").select(F.col("node").alias("start"), F.col("depth").alias("n"), F.col("depth").cast("int").alias("deepest"))
 
 
 def path_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
