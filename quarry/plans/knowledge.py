@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.knowledge import ACTIVITY, AGENT, BATCH, PROVENANCE, SUPPLY, Kind, edges, entities, items_json, property_graph, temporal_edges
-from quarry.operators.linking import linked_pairs, merged, merged_records
+from quarry.operators.linking import grouped, merged_records
 from quarry.plans.quads import _CHAIN, chain
 from quarry.plans.tables import table
 
@@ -54,7 +54,7 @@ def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     entries = F.filter(F.array(F.struct(F.lit("price").alias("key"), F.when(key % 3 == 0, F.format_string("%.2f", "p_retailprice")).alias("value")), F.struct(F.lit("size").alias("key"), F.when(key % 2 == 0, F.col("p_size").cast("string")).alias("value"))), lambda e: e["value"].isNotNull())
     made = p.select(key.alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("label"), F.map_from_entries(entries).alias("properties"), ((key % 10) / 10.0).alias("confidence"))
-    whole = merged_records(made, merged(rows, linked_pairs(rows, 0.8)))
+    whole = merged_records(made, grouped(rows, 0.8))
     return whole.select("id", "kind", "label", _flat("properties").alias("properties"), F.round("confidence", 9).alias("confidence"), "members")
 
 

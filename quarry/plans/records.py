@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.strings import edit_similarity, phonetic, safe_identifier, sanitized, slug, token_jaccard
-from quarry.operators.linking import linked_pairs, merged
+from quarry.operators.linking import grouped, linked_pairs
 from quarry.plans.tables import table
 
 
@@ -21,8 +21,7 @@ def entity_linking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of products of all sizes that pairs alike by 0.8 join, over one another, too."""
-    p = _parts(spark, sf_dir)
-    return merged(p, linked_pairs(p, 0.8))
+    return grouped(_parts(spark, sf_dir), 0.8)
 
 
 def phonetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
