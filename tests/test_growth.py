@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from quarry.operators import pointers
 from quarry.operators.linking import grouped, linked_pairs
+from quarry.operators.stage import stored
 from quarry.plans import patterns, records
 
 
@@ -32,3 +34,12 @@ def test_paths_form_no_pairs(spark, tmp_path, monkeypatch, repeats):
     found = {tuple(r)[:2] for r in entry_points.queries()["path_plus"](spark, str(tmp_path)).collect()}
     later = {k: len(range(k, 30, 4)) - 1 for k in range(30)}
     assert found == ({(k, n) for k, n in later.items() if n} if repeats == 1 else {(k, n + 1) for k, n in later.items()})
+
+
+def test_rounds_go_by_numbers(spark, monkeypatch):
+    named = []
+    monkeypatch.setattr(pointers, "stored", lambda df: (named.append(any(t == "string" for _, t in df.dtypes)), stored(df))[1])
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(40)] + [("n40", None)], "node string, next string")
+    found = pointers.members(links, links.where("node in ('n0', 'n30')").select(F.col("node").alias("head")))
+    assert {tuple(r) for r in found.collect()} == {("n0", f"n{i}", i) for i in range(41)} | {("n30", f"n{i}", i - 30) for i in range(30, 41)}
+    assert sum(named) == 2
