@@ -146,13 +146,46 @@ def canonical_quads(quads: DataFrame) -> DataFrame:
     return named.select("g", F.concat_ws(" ", F.coalesce(s, F.lit("_:")), F.concat(F.lit("<"), "p", F.lit(">")), F.coalesce(o, F.lit("_:")), F.lit(".")).alias("line"), (s.isNotNull() & o.isNotNull()).alias("sound"))
 
 
+def representatives(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """g, of: of each named graph one that is the same but for the names of blank nodes; and the quads of the latter alone.
+
+    Blank nodes are numbered by what each takes part in and, where that ties, by
+    name; graphs whose lines then are the same texts are the same graph. Others
+    may be the same too, which is left to the canonical names. Quads are
+    shuffled once, by graph. A graph's lines are gathered in one row, so graphs
+    should be of block size.
+    """
+    terms = ("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
+    rows = quads.where("g is not null").select("g", *terms).repartition("g").distinct()
+    blank = lambda side: F.col(f"{side}_kind").eqNullSafe("bnode")
+    s_nt, o_nt = F.when(~blank("s"), nt("s", "s_kind")), F.when(~blank("o"), nt("o", "o_kind", "o_dt", "o_lang"))
+    rows = rows.select("g", *terms, s_nt.alias("s_nt"), o_nt.alias("o_nt"))
+    end = lambda side, other: F.struct(F.lit(side).alias("side"), F.when(blank(side), F.col(side)).alias("b"), F.xxhash64(F.lit(side), "p", other).alias("sig"))
+    ends = rows.select("*", F.explode(F.array(end("s", "o_nt"), end("o", "s_nt"))).alias("end")).select("*", "end.*").drop("end")
+    color = F.sum(F.pmod("sig", F.lit(1 << 31))).over(W.partitionBy("g", "b"))
+    number = F.dense_rank().over(W.partitionBy("g").orderBy("color", "b"))
+    of = lambda side: F.max(F.when((F.col("side") == side) & F.col("b").isNotNull(), F.col("number")))
+    numbered = ends.withColumn("color", color).withColumn("number", number).groupBy("g", *terms, "s_nt", "o_nt").agg(of("s").alias("s_number"), of("o").alias("o_number"))
+    node = lambda text, number: F.coalesce(text, F.concat(F.lit("_:"), F.col(number).cast("string")), F.lit(""))
+    line = F.concat_ws(" ", node(F.col("s_nt"), "s_number"), F.concat(F.lit("<"), "p", F.lit(">")), node(F.col("o_nt"), "o_number"))
+    forms = stored(numbered.groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("form")))
+    first = stored(forms.groupBy("form").agg(F.min("g").alias("of")))
+    return forms.join(first, "form").select("g", "of"), quads.join(first.select(F.col("of").alias("g")), "g", "left_semi")
+
+
 def canonical_hash(quads: DataFrame) -> DataFrame:
     """g, hash: SHA-256 of the sorted canonical lines of each named graph; null where a component was given up.
 
     Graphs that differ in the names of blank nodes only have one hash, others
-    have different ones. A graph is hashed in one row, so graphs should be of
-    block size.
+    have different ones. Of graphs that are plainly the same only one is named.
+    A graph is hashed in one row, so graphs should be of block size.
     """
+    same, kept = representatives(quads)
+    return same.join(_hashed(kept).withColumnRenamed("g", "of"), "of").select("g", "hash")
+
+
+def _hashed(quads: DataFrame) -> DataFrame:
+    """canonical_hash() of every graph for itself."""
     lines = canonical_quads(quads).groupBy("g").agg(F.min("sound").alias("sound"), F.sha2(F.array_join(F.array_sort(F.collect_set("line")), "\n"), 256).alias("hash"))
     return lines.select("g", F.when(F.col("sound"), F.col("hash")).alias("hash"))
 
@@ -175,9 +208,11 @@ def complexity(quads: DataFrame) -> DataFrame:
 
 def adaptive_hash(quads: DataFrame) -> DataFrame:
     """g, complexity, method, hash: simple and moderate graphs by the hash without names, complex and pathological ones by canonical names."""
-    named = quads.where("g is not null")
+    same, named = representatives(quads)
+    named = stored(named)
     kinds = stored(complexity(named).select("g", "complexity"))
     hard = kinds.where(F.col("complexity").isin("Complex", "Pathological")).select("g")
     custom = graph_hash(named.join(hard, "g", "left_anti")).withColumn("method", F.lit("custom"))
-    canonical = canonical_hash(named.join(hard, "g", "left_semi")).withColumn("method", F.lit("canonical"))
-    return kinds.join(custom.unionByName(canonical), "g").select("g", "complexity", "method", "hash")
+    canonical = _hashed(named.join(hard, "g", "left_semi")).withColumn("method", F.lit("canonical"))
+    hashes = kinds.join(custom.unionByName(canonical), "g").withColumnRenamed("g", "of")
+    return same.join(hashes, "of").select("g", "complexity", "method", "hash")

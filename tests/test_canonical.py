@@ -104,3 +104,18 @@ def test_adaptive(spark):
     got = {r["g"]: r for r in adaptive_hash(frame).collect()}
     assert {g: r["method"] for g, r in got.items()} == {"simple": "custom", "hard": "canonical", "other": "canonical", "star": "canonical"}
     assert got["hard"]["hash"] != got["other"]["hash"]
+
+
+def test_graphs_that_are_plainly_the_same_are_named_once(spark, monkeypatch):
+    from quarry.operators import canonical
+
+    named = []
+    monkeypatch.setattr(canonical, "canonical_quads", lambda quads, f=canonical.canonical_quads: (named.append(quads.select("g").distinct().count()), f(quads))[1])
+    shape = lambda k: [(f"?{k}a", "urn:p", f"?{k}b"), (f"?{k}b", "urn:p", f"?{k}c"), (f"?{k}a", "urn:q", f'"{k % 3}')]
+    frame = spark.createDataFrame([r for k in range(60) for r in rows(f"g{k}", shape(k))], SCHEMA)
+    got = canonical_hash(frame).collect()
+    assert classes((r["g"], r["hash"]) for r in got) == sorted(sorted(f"g{k}" for k in range(60) if k % 3 == m) for m in range(3))
+    assert len(adaptive_hash(frame).collect()) == 60 and named[0] < 10 and sum(named) < 20
+    # a term without a kind is no blank node
+    odd = [(g, "x", "bnode", "urn:p", o, None, None, None) for g, o in (("a", "1"), ("b", "2"), ("c", "1"))]
+    assert classes((r["g"], r["hash"]) for r in canonical_hash(spark.createDataFrame(odd, SCHEMA)).collect()) == [["a", "c"], ["b"]]
