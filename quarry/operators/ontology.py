@@ -41,12 +41,13 @@ def shapes(quads: DataFrame) -> DataFrame:
 
     Blank nodes are taken within their graph (g). A property without a path is
     left out; of several values of a facet the smallest counts; a count that is
-    no number is null.
+    no number is null. What is said twice counts once before sides meet, so that
+    repeated quads of a shape make no pairs.
     """
     of = lambda name: quads.where(F.col("p") == SHACL + name)
     nodes = quads.where((F.col("p") == RDF + "type") & (F.col("o") == SHACL + "NodeShape")).select("g", "s").distinct()
-    targets = of("targetClass").select("g", "s", F.col("o").alias("target"))
-    held = of("property").select("g", "s", F.col("o").alias("property"))
+    targets = of("targetClass").select("g", "s", F.col("o").alias("target")).distinct()
+    held = of("property").select("g", "s", F.col("o").alias("property")).distinct()
     facet = lambda name: F.min(F.when(F.col("p") == SHACL + name, F.col("o")))
     facets = quads.where(F.col("p").isin(*[SHACL + n for n in ("path", "datatype", "class", "minCount", "maxCount")])).groupBy("g", F.col("s").alias("property"))
     facets = facets.agg(facet("path").alias("path"), facet("datatype").alias("datatype"), facet("class").alias("cls"), facet("minCount").try_cast("int").alias("min_count"), facet("maxCount").try_cast("int").alias("max_count")).where("path is not null")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from quarry.operators import pointers
+from quarry.operators import ontology, pointers
 from quarry.operators.linking import grouped, linked_pairs
 from quarry.operators.stage import stored
 from quarry.plans import patterns, records
@@ -43,3 +43,28 @@ def test_rounds_go_by_numbers(spark, monkeypatch):
     found = pointers.members(links, links.where("node in ('n0', 'n30')").select(F.col("node").alias("head")))
     assert {tuple(r) for r in found.collect()} == {("n0", f"n{i}", i) for i in range(41)} | {("n30", f"n{i}", i - 30) for i in range(30, 41)}
     assert sum(named) == 2
+
+
+def most_rows(frame):
+    """The most rows that a step of the frame's plan gave, once it has run without adaptive steps."""
+    frame.collect()
+
+    def each(node):
+        rows = node.metrics().get("numOutputRows")
+        kids = node.children()
+        return max([rows.get().value() if rows.isDefined() else 0, *[each(kids.apply(k)) for k in range(kids.size())]])
+
+    return each(frame._jdf.queryExecution().executedPlan())
+
+
+def test_repeated_quads_of_a_shape_make_no_pairs(spark):
+    sh = ontology.SHACL
+    kinds = [("urn:s", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", sh + "NodeShape"), ("urn:s", sh + "targetClass", "urn:c")]
+    quads = spark.range(200).selectExpr("'g' as g", "explode(array(" + ", ".join(f"struct('{s}' as s, '{p}' as p, '{o}' as o)" for s, p, o in kinds) + f", struct('urn:s' as s, '{sh}property' as p, concat('_:', id) as o), struct(concat('_:', id) as s, '{sh}path' as p, 'urn:p' as o))) as q").select("g", "q.*")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = ontology.shapes(quads)
+        assert most_rows(found) <= 800  # the quads
+        assert [tuple(r) for r in found.collect()] == [("urn:s", "urn:c", "urn:p", None, None, None, None)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
