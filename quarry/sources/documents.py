@@ -17,6 +17,9 @@ from quarry.sources.quads import _LINE, COLUMNS, RDF, SCHEMA, parse_nquads, turt
 REQUIRED = {"rdf": RDF, "rdfs": "http://www.w3.org/2000/01/rdf-schema#"}
 EXPORTED = {"ex": "http://example.org/", "rdf": RDF, "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
 
+#: Quads that a task holds before it hands them on; a document's own are held together.
+ROWS_AT_A_TIME = 10_000
+
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 
 
@@ -153,9 +156,12 @@ def parse_documents(files: DataFrame, text: str = "text", graph: str = "g", orde
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for batch in batches:
-            out = []
             for g, t in zip(batch["g"], batch["t"]):
+                if len(out) >= ROWS_AT_A_TIME:
+                    yield pd.DataFrame(out, columns=[*COLUMNS, "format", "lines"])
+                    out = []
                 t, rows = t or "", None
                 for kind in order:
                     try:
@@ -169,7 +175,7 @@ def parse_documents(files: DataFrame, text: str = "text", graph: str = "g", orde
                         raise ValueError(f"no parser takes the document of {g}")
                     lines = sum(1 for x in t.splitlines() if x.strip() and not x.strip().startswith(("#", "@prefix", "@base")))
                     out.append((g, g or "urn:quarry:document", "iri", raw_predicate, t, "literal", None, None, "raw", lines))
-            yield pd.DataFrame(out, columns=[*COLUMNS, "format", "lines"])
+        yield pd.DataFrame(out, columns=[*COLUMNS, "format", "lines"])
 
     rows = files.select(F.col(graph).alias("g"), F.col(text).alias("t")).mapInPandas(run, f"{SCHEMA}, format string, lines long")
     counts = rows.groupBy("g", "format").agg(F.coalesce(F.sum("lines"), F.count("s")).alias("triples"))

@@ -92,3 +92,16 @@ def test_tails(spark):
     assert all(abs(r["p"] - area(r["t"], r["n"])) < 1e-9 for r in got)
     rows = spark.createDataFrame([(1.0, 9), (0.0, 9), (0.5, 2), (0.9, 5)], "r double, n int").select(slope_p(F.col("r"), F.col("n")).alias("p")).collect()
     assert rows[0]["p"] == 0 and rows[1]["p"] == 1 and rows[2]["p"] is None and abs(rows[3]["p"] - 0.0373860734) < 1e-8
+
+
+def test_a_task_hands_quads_on_in_parts(spark, monkeypatch):
+    import pandas as pd
+
+    from quarry.sources import documents
+
+    files, runs = spark.createDataFrame([("t", "")], "g string, text string"), []
+    monkeypatch.setattr(type(files), "mapInPandas", lambda self, run, schema, f=type(files).mapInPandas: (runs.append(run), f(self, run, schema))[1])
+    parse_documents(files)
+    text = "@prefix e: <http://e.org/> .\n" + "".join(f"e:s{k} e:p {k} .\n" for k in range(30))
+    parts = list(runs[0](iter([pd.DataFrame({"g": [f"g{k}" for k in range(n)], "t": [text] * n}) for n in (700, 0, 300)])))
+    assert sum(map(len, parts)) == 30_000 and max(map(len, parts)) < documents.ROWS_AT_A_TIME + 30
