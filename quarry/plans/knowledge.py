@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.knowledge import ACTIVITY, AGENT, BATCH, PROVENANCE, SUPPLY, Kind, edges, entities, items_json, property_graph, temporal_edges
+from quarry.operators.knowledge import ACTIVITY, AGENT, BATCH, PROVENANCE, SUPPLY, Kind, edges, entities, items_json, property_nodes, temporal_edges
 from quarry.operators.linking import grouped, merged_records
 from quarry.plans.quads import _CHAIN, chain
 from quarry.plans.tables import table
@@ -33,18 +33,14 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kg_property_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the property graph by their types: how many, their properties, their links out."""
-    nodes, links = property_graph(chain(spark, sf_dir), "urn:rdf#type")
-    out = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
-    rows = nodes.join(out, "id", "left")
+    rows = property_nodes(chain(spark, sf_dir), "urn:rdf#type")
     size = F.aggregate(F.map_values("properties"), F.lit(0), lambda a, x: a + F.size(x))
-    return rows.groupBy(F.array_join("types", " ").alias("types")).agg(F.count(F.lit(1)).alias("nodes"), F.sum(size).alias("properties"), F.sum(F.coalesce("out", F.lit(0))).alias("links"))
+    return rows.groupBy(F.array_join("types", " ").alias("types")).agg(F.count(F.lit(1)).alias("nodes"), F.sum(size).alias("properties"), F.sum(F.size("links")).alias("links"))
 
 
 def kg_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item's part of the graph as JSON, as its hash."""
-    q = chain(spark, sf_dir)
-    items = q.where(F.col("p") == "urn:rdf#type").select(F.col("s").alias("item"))
-    return items_json(q, items).select("item", F.sha2("graph", 256).alias("graph_sha256"))
+    return items_json(chain(spark, sf_dir), "urn:rdf#type").select("item", F.sha2("graph", 256).alias("graph_sha256"))
 
 
 def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_shuffles(spark, name):
     assert sorted(rows, key=str) == sorted(con.execute(entry_points.oracle_sql()[name]).fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name, most", [("by_participant", 2)])
+@pytest.mark.parametrize("name, most", [("by_participant", 2), ("kg_items", 2), ("kg_property_graph", 5)])
 def test_items_are_shuffled_once(spark, name, most):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
