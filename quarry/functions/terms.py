@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
-def nt(value: str, kind: str, datatype: str | None = None, lang: str | None = None) -> Column:
+def nt(value: Column | str, kind: Column | str, datatype: str | None = None, lang: str | None = None) -> Column:
     """The N-Triples form of a term."""
-    v = F.col(value)
+    v, kind = (F.col(c) if isinstance(c, str) else c for c in (value, kind))
     text = F.concat(F.lit('"'), F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
-    out = F.when(F.col(kind) == "iri", F.concat(F.lit("<"), v, F.lit(">"))).when(F.col(kind) == "bnode", F.concat(F.lit("_:"), v)).when(F.col(kind) == "triple", v)
+    out = F.when(kind == "iri", F.concat(F.lit("<"), v, F.lit(">"))).when(kind == "bnode", F.concat(F.lit("_:"), v)).when(kind == "triple", v)
     if lang:
         out = out.when(F.col(lang).isNotNull(), F.concat(text, F.lit("@"), F.col(lang)))
     if datatype:

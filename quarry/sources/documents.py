@@ -199,19 +199,36 @@ def _short(term: Column, kind: Column, prefixes: dict[str, str]) -> Column:
 def turtle_documents(quads: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
     """g, text: each named graph as a Turtle document, a subject's predicates and objects together, all in order.
 
-    The prefixes are declared first, and shorten what they fit. A subject's lines
-    are joined before they meet the others of its graph; a graph is one row, so
-    graphs should be of block size (write_turtle() has no such bound).
+    The prefixes are declared first, and shorten what they fit. A graph's triples
+    are gathered once and are one row, so graphs should be of block size
+    (write_turtle() has no such bound).
+    """
+    term = F.struct(nt("s", "s_kind").alias("s"), F.col("s_kind"), F.col("p"), nt("o", "o_kind", "o_dt", "o_lang").alias("o"), F.col("o_kind"))
+    rows = quads.where("g is not null").groupBy("g").agg(F.collect_set(term).alias("terms"))
+    return turtle_texts(rows, "terms", prefixes).select("g", "text")
+
+
+def turtle_texts(graphs: DataFrame, terms: str, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """graphs with text: the triples of its array terms as a Turtle document.
+
+    terms: s and o in the form of N-Triples, s_kind, p, o_kind. Triples are sorted
+    by what is written of them, and each writes what the one before it has not.
     """
     prefixes = EXPORTED if prefixes is None else prefixes
     head = "".join(f"@prefix {p}: <{iri}> .\n" for p, iri in prefixes.items())
-    s = _short(nt("s", "s_kind"), F.col("s_kind"), prefixes)
-    o = _short(nt("o", "o_kind", "o_dt", "o_lang"), F.col("o_kind"), prefixes)
-    p = _short(F.concat(F.lit("<"), "p", F.lit(">")), F.lit("iri"), prefixes)
-    rows = quads.where("g is not null").select("g", s.alias("s"), p.alias("p"), o.alias("o")).distinct()
-    lines = rows.groupBy("g", "s", "p").agg(F.concat(F.col("p"), F.lit(" "), F.array_join(F.array_sort(F.collect_list("o")), " , ")).alias("line"))
-    subjects = lines.groupBy("g", "s").agg(F.concat(F.col("s"), F.lit(" "), F.array_join(F.array_sort(F.collect_list("line")), " ;\n    "), F.lit(" .\n")).alias("part"))
-    return subjects.groupBy("g").agg(F.concat(F.lit(head + "\n" if head else ""), F.array_join(F.array_sort(F.collect_list("part")), "")).alias("text"))
+    short = lambda term, kind: _short(term, kind, prefixes)
+    spaced = lambda term: F.concat(term, F.lit(" "))
+    plain = F.transform(terms, lambda x: F.struct(spaced(short(x["s"], x["s_kind"])).alias("s"), spaced(short(F.concat(F.lit("<"), x["p"], F.lit(">")), F.lit("iri"))).alias("p"), short(x["o"], x["o_kind"]).alias("o")))
+    whole = F.filter(plain, lambda x: x["s"].isNotNull() & x["p"].isNotNull() & x["o"].isNotNull())
+    at = "_".join(["sorted", *graphs.columns])  # a name that graphs does not have
+
+    def piece(x: Column, i: Column) -> Column:
+        before, after = F.get(at, i - 1), F.get(at, i + 1)
+        start = F.when((before["s"] == x["s"]) & (before["p"] == x["p"]), F.lit(" , ")).when(before["s"] == x["s"], F.concat(F.lit(" ;\n    "), x["p"])).otherwise(F.concat(x["s"], x["p"]))
+        return F.concat(start, x["o"], F.when(after["s"] == x["s"], F.lit("")).otherwise(F.lit(" .\n")))
+
+    text = F.concat(F.lit(head + "\n" if head else ""), F.array_join(F.transform(at, piece), ""))
+    return graphs.withColumn(at, F.array_sort(F.array_distinct(whole))).withColumn("text", text).drop(at)
 
 
 def write_turtle(quads: DataFrame, path: str) -> None:
