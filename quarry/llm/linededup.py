@@ -14,10 +14,12 @@ from quarry.llm.common import discard, fresh, literal_longs, read, settle, text_
 TENTHS = 8
 #: Counters that the words of the corpus are counted in. What they tell, 4 bits each, goes to every task.
 COUNTERS = 1 << 18
-#: Of a set's rarest words, those under which it first meets the earliest line.
-LEADS = 2
+#: Of the neighbours among a set's rarest words, the pairs under which it first meets the earliest line.
+LEADS = 4
 #: Times 64 classes of words by which candidates are told apart before their words travel; a power of two.
 PARITIES = 4
+#: Words above which a line's 64 classes are told apart as 128: more words than that fill 64 classes, which then tell nothing.
+LONG = 64
 #: Words below which two different sets never match: 3 of 4 words are too few.
 LEAST = 4
 #: Bits of the filter of places, at most and for each place.
@@ -84,7 +86,8 @@ def _may_match(a: str, b: str) -> Column:
     size holds how many words a set has, above 32 bits of the word's place in
     it; it is negative where the set needs no match any more, which b then fails.
     sig holds for each of 64 classes of words whether their number is odd: each
-    class that differs needs a word that only one of the two has. All conditions
+    class that differs needs a word that only one of the two has. half is the same
+    of every second class of 128, null for short lines. All conditions
     are on both sides, so that a table joined with itself is shuffled once.
     """
     A, B = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
@@ -94,7 +97,9 @@ def _may_match(a: str, b: str) -> Column:
     length = (10 * n >= TENTHS * m) & (10 * m >= TENTHS * n)
     position = F.least(n - pos(A), m - pos(B)) >= _overlap(n, m)
     differ = F.bit_count(A("sig").bitwiseXOR(B("sig"))) * (10 + TENTHS) <= (10 - TENTHS) * (n + m)
-    return length & differ & position & earlier
+    other, halves = A("sig").bitwiseXOR(B("sig")), A("half").bitwiseXOR(B("half"))
+    long = (F.bit_count(halves) + F.bit_count(other.bitwiseXOR(halves))) * (10 + TENTHS) <= (10 - TENTHS) * (n + m)
+    return length & differ & F.coalesce(long, F.lit(True)) & position & earlier
 
 
 def _parity(words: Column, k: int) -> Column:
@@ -129,31 +134,35 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Lines with equal sets are one set, at its first place. A set of n words is
     met under its n - ceil(0.8 n) + 1 rarest words by all others, but first, under
-    a few of them, by the earliest line there: most of a large group of variants
+    a few pairs of them, by the earliest line there: most of a large group of variants
     is settled by that, and need not meet the others. Only lines that may match
     are read again, for their words.
     """
     spark = docs.sparkSession
     lines = with_words(split_lines(docs, id_col, text_col))
     parity = F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    half = F.when(F.size("words") > LONG, F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: F.when(w.bitwiseAND(F.lit(64)) != 0, s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int")))).otherwise(s)))
     ordered = F.sort_array("words")
     # lines without words are left out after the write: a filter before it would compute the words twice
-    full = written(lines.select("d", "l", F.size("words").alias("n"), F.xxhash64(ordered).alias("s1"), F.xxhash64(F.lit(1), ordered).alias("s2"), parity.alias("sig"), _short(F.col("words")).alias("shorts")))
+    full = written(lines.select("d", "l", F.size("words").alias("n"), F.xxhash64(ordered).alias("s1"), F.xxhash64(F.lit(1), ordered).alias("s2"), parity.alias("sig"), half.alias("half"), _short(F.col("words")).alias("shorts")))
     rare = rarity(full)
     slim = full.where(F.col("n") >= max(1, min_words))
     prefix = F.slice(by_rarity(F.col("shorts"), rare), 1, F.col("n") - F.ceil(F.col("n") * TENTHS / 10).cast("int") + 1)
-    sets = written(slim.withColumn("prefix", prefix).groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")))
+    sets = written(slim.withColumn("prefix", prefix).groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("half").alias("half"), F.first("prefix").alias("prefix")))
     places = written(slim.select("d", "l", "s1", "s2"))
     discard(full)
     settle(spark)
     enough = sets.where(F.col("n") >= LEAST)
 
     def by_word(table: DataFrame, words: Column, n: Column) -> DataFrame:
-        found = table.select("d", "l", n.cast("long").alias("n"), "sig", F.posexplode(words).alias("pos", "word"))
-        return found.select("word", "d", "l", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("size"), "sig")
-
-    met = by_word(enough.select("at.*", "n", "sig", "prefix"), F.slice("prefix", 1, LEADS), F.col("n"))
-    lead = met.groupBy("word").agg(F.min(F.struct("d", "l", "size", "sig")).alias("first")).select("word", "first.*")
+        found = table.select("d", "l", n.cast("long").alias("n"), "sig", "half", F.posexplode(words).alias("pos", "word"))
+        return found.select("word", "d", "l", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("size"), "sig", "half")
+
+    # a word that only one variant has breaks two of a set's pairs, and lines that have nothing else in common seldom share one
+    pairs_of = F.transform(F.slice("prefix", 2, F.size("prefix")), lambda w, i: F.xxhash64(F.get("prefix", i), w))
+    leading = enough.select("at.*", "n", "sig", "half", F.explode(F.slice(F.sort_array(pairs_of), 1, LEADS)).alias("word"))
+    met = leading.select("word", "d", "l", F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "sig", "half")  # pairs have no place
+    lead = met.groupBy("word").agg(F.min(F.struct("d", "l", "size", "sig", "half")).alias("first")).select("word", "first.*")
     ends = [F.col("b.d").alias("d"), F.col("b.l").alias("l"), F.col("a.d").alias("ad"), F.col("a.l").alias("al")]
     same = F.col("a.word") == F.col("b.word")
 
@@ -192,7 +201,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     settled = verified(met.alias("b").join(lead.alias("a"), same & _may_match("a", "b")).select(*ends))
     known = settled.join(places, ["d", "l"]).select("s1", "s2", F.lit(True).alias("settled")).dropDuplicates(["s1", "s2"])
-    rest = written(enough.join(known, ["s1", "s2"], "left").select("at.*", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n")).alias("n"), "sig", "prefix"))
+    rest = written(enough.join(known, ["s1", "s2"], "left").select("at.*", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n")).alias("n"), "sig", "half", "prefix"))
     # lines after the first with an equal set match it; a first line may match one with another set
     later = written(places.join(sets.select("s1", "s2", "at"), ["s1", "s2"]).where((F.col("d") > F.col("at.d")) | ((F.col("d") == F.col("at.d")) & (F.col("l") > F.col("at.l")))).select("d", "l"))
     for t in (sets, places):
