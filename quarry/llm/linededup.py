@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from statistics import median
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +56,11 @@ def rarity(shorts: DataFrame) -> list[int]:
     Counts the lines that words are in, over all lines. COUNTERS numbers come to the driver.
     """
     slot = F.col("w").bitwiseAND(F.lit(COUNTERS - 1))
-    counts = dict(shorts.select(F.explode("shorts").alias("w")).groupBy(slot.alias("k")).count().collect())
-    middle = median([counts.get(k, 0) for k in range(COUNTERS)]) or 1
-    return [min(15, max(0, int(counts.get(k, 0) / middle).bit_length() - 1)) for k in range(COUNTERS)]
+    found = shorts.select(F.explode("shorts").alias("w")).groupBy(slot.alias("k")).count().toArrow()  # numbers, not a quarter of a million rows
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[found.column("k").to_numpy()] = found.column("count").to_numpy()
+    middle = float(np.median(counts)) or 1.0
+    return np.clip(np.frexp(np.floor(counts / middle))[1] - 1, 0, 15).tolist()
 
 
 def by_rarity(shorts: Column, rare: list[int]) -> Column:
@@ -119,8 +119,10 @@ def _filter_of(places: DataFrame) -> tuple[int, Column]:
     while bits < most:
         bits *= 2
     slot = _slots(F.col("d"), F.col("l"), bits)
-    words = dict(places.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).collect())
-    return bits, literal_longs([words.get(w, 0) for w in range(bits // 64)])
+    words = places.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return bits, literal_longs(table.tolist())
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:

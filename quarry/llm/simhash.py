@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.chunks import slices
 from quarry.llm.common import components, discard, fresh, lower_ascii, read, settle, text_or_empty, with_row_keys, written
+from quarry.llm.repeats import _filter_of, _in
 
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 3
 #: Jaccard similarity times ten of two near texts, counters that shingles are counted in, and rarest shingles under which a set first meets the smallest.
 TENTHS, COUNTERS, LEADS = 8, 1 << 16, 2
 #: Classes of shingles by which candidates are told apart before their sets travel.
 CLASSES = 2048
+#: Sets under a shingle of their prefixes beyond which they do not meet there, but under parts of their shingles.
+CROWD = 8
 #: Steps in which candidates meet their sets of shingles, so that only a part of the pairs carries them at a time.
 STEPS = 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,6 +211,23 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), lower_ascii(text_or_empty()).alias("text"))
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, schema: str, columns: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
+    """What columns makes of the shingle sets of docs whose ids wanted (low, a written table) has, and of a few others.
+
+    A bitmap of the ids tells them where they lie, so that no text is shuffled.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64("low").alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_in(sent.value, batch.column("x").to_numpy().view(np.uint64))))
+            for part in slices(batch, "text"):
+                made = columns([_shingle_set(t, shingle)[0] for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays(made, [c.split()[0] for c in schema.split(", ")])
+
+    return _texts(docs).withColumn("x", F.xxhash64("id")).mapInArrow(run, schema)
+
+
 def _rarity(docs: DataFrame, shingle: int) -> np.ndarray:
     """For each counter of shingles, how far its count is above the middle one, in powers of two. COUNTERS numbers come to the driver."""
 
@@ -222,8 +242,8 @@ def _rarity(docs: DataFrame, shingle: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["k", "n"])
 
     count = np.zeros(COUNTERS, dtype=np.int64)
-    for r in _texts(docs).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        count[r.k] = r.n
+    sums = _texts(docs).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    count[sums.column("k").to_numpy()] = sums.column("n").to_numpy()
     return np.log2(np.maximum(1, count / max(1.0, float(np.median(count))))).astype(np.uint8)
 
 
@@ -258,16 +278,12 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int)
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     wanted = written(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s", "left_semi").select("s", "low"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                keys = [_shingle_set(t, shingle)[0] for t in part.column("text").to_pylist()]
-                odd = [np.packbits(np.bincount((k & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 1).view(np.int64) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(k) for k in keys], pa.int64()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["s", "keys", "odd"])
+    def columns(keys: list[np.ndarray]) -> list[pa.Array]:
+        odd = [np.packbits(np.bincount((k & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 1).view(np.int64) for k in keys]
+        return [pa.array([_set_hash(k) for k in keys], pa.int64()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
 
-    some = _texts(docs.join(wanted.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     # an id may have several texts
-    full = written(some.mapInArrow(run, "s long, keys array<long>, odd array<long>").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
+    full = written(_sets_of(docs, wanted, shingle, "s long, keys array<long>, odd array<long>", columns).join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]))
     settle(docs.sparkSession)
     # each class of shingles that is odd in one set only needs a shingle that only one of them has
     odd = lambda to, o, n: full.select(F.col("s").alias(to), F.col("odd").alias(o), F.size("keys").alias(n))
@@ -301,6 +317,69 @@ def _fits(a: str, b: str) -> Column:
     return (10 * n >= TENTHS * m) & (10 * m >= TENTHS * n) & ((10 + TENTHS) * left >= TENTHS * (n + m))
 
 
+def _bounds(most: int = 1 << 40) -> np.ndarray:
+    """Smallest sizes of levels: sets that may be alike are of one level or of two in a row."""
+    out = [1]
+    while out[-1] < most:
+        out.append(out[-1] * 10 // TENTHS + 1)
+    return np.array(out)
+
+
+_LEVELS = _bounds()
+
+
+def part_keys(keys: np.ndarray) -> np.ndarray:
+    """64-bit keys of which two sets of shingles with a Jaccard similarity of 0.8 or more share one.
+
+    Such sets of n and m shingles differ in (n + m) / 9 at most. Where a level's
+    shingles are dealt to more parts than its sets may differ in, some parts are
+    equal; a key stands for all shingles of a part. A set is in its own level,
+    and in the next if sets of that may be alike. Parts without shingles have no
+    key: a set with so many of them that two may be equal in no others has the
+    keys of its prefix, by hash, which two such sets share one of.
+    """
+    out, n = [np.zeros(0, np.uint64)], len(keys)
+    own = int(np.searchsorted(_LEVELS, n, side="right")) - 1
+    for level in (own, own + 1) if n else ():
+        if level > own and 10 * n < TENTHS * int(_LEVELS[level]):
+            continue
+        differ = 2 * (int(_LEVELS[level + 1]) - 1) * (10 - TENTHS) // (10 + TENTHS)
+        parts = differ + differ // 8 + 2
+        of = (keys >> np.uint64(16)) % np.uint64(parts)
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        tag = np.uint64(level << 44)
+        out.append((np.add.reduceat(keys[order], start) ^ tag ^ of[start]) * np.uint64(0x9E3779B97F4A7C15))
+        if parts - len(start) >= parts - differ:
+            out.append((keys[: n - -(-n * TENTHS // 10) + 1] ^ tag ^ np.uint64(1 << 43)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate(out)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Those of rows (key, g and others) whose key two groups have, and many: the rows of the key."""
+    of = Window.partitionBy("key")
+    told = rows.withColumns({"many": F.count(F.lit(1)).over(of), "lo": F.min("g").over(of), "hi": F.max("g").over(of)})
+    return written(told.where("lo <> hi").drop("lo", "hi"))
+
+
+def _met(rows: DataFrame, fits: Column | None = None) -> DataFrame:
+    """Pairs a, b of rows (s, n, g, key) with a key in common, in different groups, of sizes that may be alike."""
+    n, m = F.col("x.n"), F.col("y.n")
+    sizes = (10 * n >= TENTHS * m) & (10 * m >= TENTHS * n)
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.g") != F.col("y.g"))
+    return rows.alias("x").join(rows.alias("y"), apart & (sizes if fits is None else fits)).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+
+
+def _crowded(docs: DataFrame, crowd: DataFrame, shingle: int) -> DataFrame:
+    """Rows s, n, g, key: the sets in crowd (s, low, g) under the parts of their shingles."""
+
+    def columns(sets: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([_set_hash(k) for k in sets], pa.int64()), pa.array([len(k) for k in sets], pa.int64()), pa.array([part_keys(k).view(np.int64) for k in sets], pa.list_(pa.int64()))]
+
+    return _sets_of(docs, crowd, shingle, "s long, n long, keys array<long>", columns).join(crowd.select("s", "g"), "s").select("s", "n", "g", F.explode("keys").alias("key"))
+
+
 def near_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id and component_id: the smallest id reachable over shingle sets with a Jaccard similarity of 0.8 or more.
 
@@ -308,7 +387,9 @@ def near_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     settle what they can: sets with equal fingerprints or linked ones, and sets
     that share a rarest shingle with the smallest such set, are compared first.
     Only sets that are still in different groups then meet under the shingles of
-    their prefixes, where all that are near do. Every link is verified.
+    their prefixes, where all that are near do. Sets that share such a shingle
+    with more than CROWD meet under parts of their shingles instead, of which near
+    sets have one in common and others seldom do. Every link is verified.
     """
     spark = docs.sparkSession
     rows = written(_profiles(docs, shingle))
@@ -325,16 +406,20 @@ def near_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     led = lead.alias("x").join(first.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.s") != F.col("y.s")) & _fits("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
     settled = _verified(docs, sets, alike.unionByName(led), shingle)
     groups = components(settled)
-    open_ = written(sets.join(groups, F.col("s") == F.col("node"), "left").select("s", "n", F.coalesce("component", "s").alias("g"), "prefix"))
+    open_ = written(sets.join(groups, F.col("s") == F.col("node"), "left").select("s", "low", "n", F.coalesce("component", "s").alias("g"), "prefix"))
     lows = written(sets.select("s", "low"))
     discard(sets)
     settle(spark)
-    all_ = open_.select("s", "n", "g", F.posexplode("prefix").alias("pos", "key"))
-    more = all_.alias("x").join(all_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.g") != F.col("y.g")) & _fits("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+    shared = _shared(open_.select("s", "n", "g", F.posexplode("prefix").alias("pos", "key")))
+    settle(spark)
+    crowd = written(open_.select("s", "low", "g").join(shared.where(F.col("many") > CROWD).select("s").distinct(), "s", "left_semi"))
+    parts = _shared(_crowded(docs, crowd, shingle))
+    settle(spark)
+    more = _met(shared.where(F.col("many") <= CROWD), _fits("x", "y")).unionByName(_met(parts))
     found = components(settled.unionByName(_verified(docs, lows, more, shingle)))
     joined = lows.join(found, F.col("s") == F.col("node"), "left").select("s", "low", F.coalesce("component", "s").alias("g"))
     of = written(joined.join(joined.groupBy("g").agg(F.min("low").alias("component_id")), "g").select("s", "component_id"))
-    for t in (lows, heads, open_, settled):
+    for t in (lows, heads, open_, settled, shared, crowd, parts):
         discard(t)
     return texts.join(of, "s").select(F.col("id").alias("doc_id"), "component_id")
 
