@@ -63,8 +63,8 @@ def rarity(shorts: DataFrame) -> list[int]:
     return np.clip(np.frexp(np.floor(counts / middle))[1] - 1, 0, 15).tolist()
 
 
-def by_rarity(shorts: Column, rare: list[int]) -> Column:
-    """The words, rarest first: an order that is one for all lines, by the rarity of the word's counter and then by hash."""
+def by_rarity(shorts: Column, rare: list[int], most: Column) -> Column:
+    """The rarest words, as many as most, rarest first: an order that is one for all lines, by the rarity of the word's counter and then by hash."""
     table = literal_longs(np.array(rare, dtype=np.int64).reshape(-1, 16) @ (1 << 4 * np.arange(16, dtype=np.int64)))  # 4 bits each
 
     def key(w: Column) -> Column:
@@ -72,7 +72,7 @@ def by_rarity(shorts: Column, rare: list[int]) -> Column:
         of = F.call_function("shiftright", sixteen, F.shiftleft(w.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(15))
         return F.shiftleft(of, 32).bitwiseOR(w.cast("bigint").bitwiseAND(F.lit((1 << 32) - 1)))
 
-    return F.transform(F.sort_array(F.transform(shorts, key)), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    return F.transform(F.slice(F.sort_array(F.transform(shorts, key)), 1, most), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
 
 
 def _overlap(n: Column, m: Column) -> Column:
@@ -149,7 +149,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = written(lines.select("d", "l", F.size("words").alias("n"), F.xxhash64(ordered).alias("s1"), F.xxhash64(F.lit(1), ordered).alias("s2"), parity.alias("sig"), half.alias("half"), _short(F.col("words")).alias("shorts")))
     rare = rarity(full)
     slim = full.where(F.col("n") >= max(1, min_words))
-    prefix = F.slice(by_rarity(F.col("shorts"), rare), 1, F.col("n") - F.ceil(F.col("n") * TENTHS / 10).cast("int") + 1)
+    prefix = by_rarity(F.col("shorts"), rare, F.col("n") - F.ceil(F.col("n") * TENTHS / 10).cast("int") + 1)
     sets = written(slim.withColumn("prefix", prefix).groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("half").alias("half"), F.first("prefix").alias("prefix")))
     places = written(slim.select("d", "l", "s1", "s2"))
     discard(full)
