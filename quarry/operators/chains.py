@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +52,84 @@ def reconstructed(blocks: DataFrame, chain: str = "chain", genesis: str = ZEROS)
     return placed.join(main, "node", "left").select(chain, "hash", F.col("depth").alias("height"), status.alias("status"))
 
 
-def audited(blocks: DataFrame, digest: Column, chain: str = "chain", index: str = "index", genesis: str = ZEROS) -> DataFrame:
+def _placed(blocks: list[tuple], genesis: str) -> list[tuple]:
+    """height and status of each of one chain's blocks (hash, previous), as reconstructed() has them."""
+    back, done = {}, {}  # done: links to the end of the way back, and whether that is a genesis block; None on a cycle
+    for h, p in blocks:
+        if h is not None and (back.get(h) is None or p is not None and p < back[h]):
+            back[h] = p
+    first = lambda h: back[h] is None or back[h] == genesis
+    for h in back:
+        way, on = [], set()
+        while h not in done and h not in on:
+            way.append(h)
+            on.add(h)
+            if first(h) or back[h] not in back:
+                done[h] = (0, first(h))
+            else:
+                h = back[h]
+        end = done.get(h)
+        for x in reversed(way):
+            if x not in done:
+                end = end and (end[0] + 1, end[1])
+                done[x] = end
+    tip = min(((-d[0], h) for h, d in done.items() if d and d[1]), default=None)
+    main, h = set(), tip and tip[1]
+    while tip and h not in main:
+        main.add(h)
+        h = h if first(h) else back[h]
+    told = {h: (None, "cycle") if d is None else (d[0], "orphan" if not d[1] else "main" if h in main else "fork") for h, d in done.items()}
+    return [told.get(h, (None, None)) for h, _ in blocks]
+
+
+def _audited_in_place(blocks: DataFrame, chain: str, genesis: str) -> DataFrame:
+    """blocks with height and status, of chains whose blocks follow one another in a partition."""
+
+    def told(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(tables)
+        names, hashes, previous = (table[c].cast(pa.string()).to_pylist() for c in (chain, "hash", "previous"))
+        out, at = [], 0
+        for end in range(1, len(names) + 1):
+            if end == len(names) or names[end] != names[at]:
+                out += _placed(list(zip(hashes[at:end], previous[at:end])), genesis) if names[at] is not None else [(None, None)] * (end - at)
+                at = end
+        heights, status = zip(*out)
+        yield from table.append_column("height", pa.array(heights, pa.int64())).append_column("status", pa.array(status, pa.string())).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None  # the last chain so far: its rest may be in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            names = table[chain].cast(pa.string()).to_numpy(zero_copy_only=False)
+            if not len(names):
+                continue
+            starts = (np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()
+            if held and names[0] != last:
+                starts = [0, *starts]
+            if starts:
+                whole = [*held, *([table.slice(0, starts[-1])] if starts[-1] else [])]
+                yield from told(whole)
+                held = []
+            held.append(table.slice(starts[-1] if starts else 0))
+            last = names[-1]
+        if held:
+            yield from told(held)
+
+    return blocks.mapInArrow(run, blocks.withColumns({"height": F.lit(None).cast("long"), "status": F.lit(None).cast("string")}).schema)
+
+
+def audited(blocks: DataFrame, digest: Column, chain: str = "chain", index: str = "index", genesis: str = ZEROS, in_place: bool = False) -> DataFrame:
     """blocks with height, status and fault: what of each block does not fit first.
 
+    With in_place, the blocks of a chain must follow one another in a partition,
+    as hash_chain() leaves them: each chain is put together there, in memory,
+    with no shuffle and no rounds.
+
     digest gives the hash that the block's columns should have. Faults: hash (it
     has another), place (on the main way, but not at its index), then the status
     where that is not main; none is null.
     """
-    placed = reconstructed(blocks, chain, genesis)
-    rows = blocks.join(placed, [chain, "hash"], "left")
+    rows = _audited_in_place(blocks, chain, genesis) if in_place else blocks.join(reconstructed(blocks, chain, genesis), [chain, "hash"], "left")
     fault = F.when(F.coalesce(digest != F.col("hash"), F.lit(True)), "hash").when((F.col("status") == "main") & (F.col("height") != F.col(index)), "place").when(F.col("status") != "main", F.col("status"))
     return rows.withColumn("fault", fault)
 
