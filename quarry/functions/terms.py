@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
-def nt(value: Column | str, kind: Column | str, datatype: str | None = None, lang: str | None = None) -> Column:
+def nt(value: Column | str, kind: Column | str, datatype: Column | str | None = None, lang: Column | str | None = None) -> Column:
     """The N-Triples form of a term."""
-    v, kind = (F.col(c) if isinstance(c, str) else c for c in (value, kind))
+    v, kind, datatype, lang = (F.col(c) if isinstance(c, str) else c for c in (value, kind, datatype, lang))
     text = F.concat(F.lit('"'), F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
     out = F.when(kind == "iri", F.concat(F.lit("<"), v, F.lit(">"))).when(kind == "bnode", F.concat(F.lit("_:"), v)).when(kind == "triple", v)
-    if lang:
-        out = out.when(F.col(lang).isNotNull(), F.concat(text, F.lit("@"), F.col(lang)))
-    if datatype:
-        out = out.when(F.col(datatype).isNotNull() & (F.col(datatype) != XSD + "string"), F.concat(text, F.lit("^^<"), F.col(datatype), F.lit(">")))
+    if lang is not None:
+        out = out.when(lang.isNotNull(), F.concat(text, F.lit("@"), lang))
+    if datatype is not None:
+        out = out.when(datatype.isNotNull() & (datatype != XSD + "string"), F.concat(text, F.lit("^^<"), datatype, F.lit(">")))
     return out.otherwise(text)
 
 

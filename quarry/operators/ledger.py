@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,11 +18,11 @@ def quad_hash() -> Column:
     return F.sha2(F.concat_ws("\n", graph, nt("s", "s_kind"), F.concat(F.lit("<"), F.col("p"), F.lit(">")), nt("o", "o_kind", "o_dt", "o_lang")), 256)
 
 
-def triple_hash() -> Column:
-    """SHA-256 of a triple where blank nodes have no name, only a side."""
-    s = F.when(F.col("s_kind") == "bnode", F.lit("Magic_S")).otherwise(nt("s", "s_kind"))
-    o = F.when(F.col("o_kind") == "bnode", F.lit("Magic_O")).otherwise(nt("o", "o_kind", "o_dt", "o_lang"))
-    return F.sha2(F.concat(s, F.concat(F.lit("<"), F.col("p"), F.lit(">")), o), 256)
+def triple_hash(of: Callable[[str], Column] = F.col) -> Column:
+    """SHA-256 of a triple where blank nodes have no name, only a side; of gives its columns."""
+    s = F.when(of("s_kind") == "bnode", F.lit("Magic_S")).otherwise(nt(of("s"), of("s_kind")))
+    o = F.when(of("o_kind") == "bnode", F.lit("Magic_O")).otherwise(nt(of("o"), of("o_kind"), of("o_dt"), of("o_lang")))
+    return F.sha2(F.concat(s, F.concat(F.lit("<"), of("p"), F.lit(">")), o), 256)
 
 
 def graph_hash(quads: DataFrame, *more: Column) -> DataFrame:
@@ -31,6 +33,12 @@ def graph_hash(quads: DataFrame, *more: Column) -> DataFrame:
     return quads.where("g is not null").groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(triple_hash())), ""), 256).alias("hash"), *more)
 
 
+def quads_hash(quads: str) -> Column:
+    """graph_hash() of a graph whose quads are an array in its row."""
+    hashes = F.array_compact(F.transform(quads, lambda q: triple_hash(q.getField)))
+    return F.sha2(F.array_join(F.sort_array(F.array_distinct(hashes)), ""), 256)
+
+
 def merkle_root(leaves: DataFrame, col: str = "hash") -> DataFrame:
     """One row, root: pairs of sorted leaves hashed level by level, an odd one promoted; 64 zeros without leaves.
 

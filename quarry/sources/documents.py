@@ -228,7 +228,7 @@ def turtle_texts(graphs: DataFrame, terms: str, prefixes: dict[str, str] | None
         return F.concat(start, x["o"], F.when(after["s"] == x["s"], F.lit("")).otherwise(F.lit(" .\n")))
 
     text = F.concat(F.lit(head + "\n" if head else ""), F.array_join(F.transform(at, piece), ""))
-    return graphs.withColumn(at, F.array_sort(F.array_distinct(whole))).withColumn("text", text).drop(at)
+    return graphs.withColumn(at, F.sort_array(F.array_distinct(whole))).withColumn("text", text).drop(at)
 
 
 def write_turtle(quads: DataFrame, path: str) -> None:

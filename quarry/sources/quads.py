@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quarry.functions.terms import XSD, nt
 
@@ -65,12 +67,69 @@ _TOKEN = re.compile(
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "'": "'", "\\": "\\"}
 
 
+#: Tokens of Turtle that is made of IRIs, prefixed names, named blank nodes and plain texts; any other character is a token of its own.
+_PLAIN = re.compile(r'<[^>\s]*>|"[^"\n]*"|_:[\w-]+|(?![\d-])(?:[\w-]*:[\w./-]*\w|[\w-]*:)|@prefix(?![\w-])|\S')
+
+
+def _plain_triples(text: str) -> list[tuple] | None:
+    """turtle_triples() of a document that is as plain as most are, told without looking further; None of any other."""
+    if "\\" in text or "'" in text or '"""' in text:
+        return None
+    tokens, out, prefixes, known, i = _PLAIN.findall(text), [], {}, {}, 0
+    tokens += [""] * 4
+
+    def term(t: str) -> tuple | None:
+        if t.startswith("_:"):
+            found = (t[2:], "bnode")
+        elif t[:1] in ("<", '"') and len(t) > 1:
+            found = (t[1:-1], "iri" if t[0] == "<" else "literal")
+        else:
+            prefix, colon, local = t.partition(":")
+            if not colon or prefix not in prefixes:
+                return None
+            found = (prefixes[prefix] + local, "iri")
+        known[t] = found
+        return found
+
+    while tokens[i]:
+        if tokens[i] == "@prefix":
+            name, iri = tokens[i + 1], tokens[i + 2]
+            if name[-1:] != ":" or len(name) > 1 and not name[:-1].replace("-", "_").isidentifier() or iri[:1] != "<" or len(iri) < 2 or tokens[i + 3] != ".":
+                return None
+            prefixes[name[:-1]] = iri[1:-1]
+            known.clear()
+            i += 4
+            continue
+        s = known.get(tokens[i]) or term(tokens[i])
+        if not s or s[1] == "literal":
+            return None
+        mark = ";"
+        while mark == ";":
+            p, mark, i = known.get(tokens[i + 1]) or term(tokens[i + 1]), ",", i + 1
+            if not p or p[1] != "iri":
+                return None
+            while mark == ",":
+                o, mark, i = known.get(tokens[i + 1]) or term(tokens[i + 1]), tokens[i + 2], i + 2
+                if not o:
+                    return None
+                out.append((*s, p[0], *o, None, None))
+        if mark != ".":
+            return None
+        i += 1
+    return out
+
+
 def turtle_triples(text: str) -> list[tuple]:
     """(s, s_kind, p, o, o_kind, o_dt, o_lang) of a Turtle document; ValueError where it is none.
 
     Prefixes, bases, lists of predicates and objects, blank nodes, collections,
     numbers, booleans, texts with data type or language.
     """
+    found = _plain_triples(text)
+    return _any_triples(text) if found is None else found
+
+
+def _any_triples(text: str) -> list[tuple]:
     tokens, at = [], 0
     while at < len(text):
         m = _TOKEN.match(text, at)
@@ -174,28 +233,49 @@ def turtle_triples(text: str) -> list[tuple]:
     return [(s[0], s[1], p, o[0], o[1], o[2], o[3]) for s, p, o in out]
 
 
-def parse_turtle(files: DataFrame, text: str = "text", graph: str = "g", strict: bool = False, raw_predicate: str = "urn:quarry:hasData", by_graph: bool = False) -> DataFrame:
+def _turtle_rows(g: str | None, text: str | None, strict: bool, raw_predicate: str) -> list[tuple]:
+    try:
+        return turtle_triples(text or "")
+    except (ValueError, KeyError):
+        if strict:
+            raise
+        return [(g or "urn:quarry:document", "iri", raw_predicate, text, "literal", None, None)]
+
+
+def parse_turtle(files: DataFrame, text: str = "text", graph: str = "g", strict: bool = False, raw_predicate: str = "urn:quarry:hasData") -> DataFrame:
     """Quads of Turtle documents, each into its row's graph; blank nodes are told apart by graph.
 
     A document that does not parse is one quad that holds it as a literal, or an error if strict.
-    With by_graph, quads are dealt out by graph, so that grouping them by g takes no other
-    shuffle: for many graphs of block size.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for g, t in zip(batch["g"], batch["t"]):
-                try:
-                    out += [(g, *row) for row in turtle_triples(t or "")]
-                except (ValueError, KeyError):
-                    if strict:
-                        raise
-                    out.append((g, g or "urn:quarry:document", "iri", raw_predicate, t, "literal", None, None))
+            out = [(g, *row) for g, t in zip(batch["g"], batch["t"]) for row in _turtle_rows(g, t, strict, raw_predicate)]
             yield pd.DataFrame(out, columns=COLUMNS)
 
-    quads = files.select(F.col(graph).alias("g"), F.col(text).alias("t")).mapInPandas(run, SCHEMA)
-    return (quads.repartition("g") if by_graph else quads).dropDuplicates()
+    return files.select(F.col(graph).alias("g"), F.col(text).alias("t")).mapInPandas(run, SCHEMA).dropDuplicates()
+
+
+def parse_turtle_rows(files: DataFrame, text: str = "text", graph: str = "g", strict: bool = False, raw_predicate: str = "urn:quarry:hasData") -> DataFrame:
+    """files with quads instead of text: parse_turtle() where a document is all of its graph, whose different quads stay in its row."""
+    kept = [c for c in files.columns if c != text]
+    parts = [c for c in COLUMNS if c != "g"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):  # documents handed on at a time
+                batch = whole.slice(at, 1000)
+                names, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (graph, text))
+                rows, ends = [], [0]
+                for g, t in zip(names, texts):
+                    rows += dict.fromkeys(_turtle_rows(g, t, strict, raw_predicate))
+                    ends.append(len(rows))
+                quads = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * len(parts), parts)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), quads)
+                yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in kept), lists], [*kept, "quads"])
+
+    schema = files.select(*kept).schema.add("quads", ArrayType(StructType([StructField(c, StringType()) for c in parts])))
+    return files.mapInArrow(run, schema)
 
 
 def read_turtle(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
