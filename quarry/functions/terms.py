@@ -20,6 +20,17 @@ def nt(value: Column | str, kind: Column | str, datatype: Column | str | None =
     return out.otherwise(text)
 
 
+def nt_text(value: str, kind: str, datatype: str | None = None, lang: str | None = None) -> str:
+    """nt() of one term."""
+    if kind == "iri":
+        return f"<{value}>"
+    if kind in ("bnode", "triple"):
+        return f"_:{value}" if kind == "bnode" else value
+    if "\\" in value or '"' in value or "\n" in value:
+        value = value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
+    return f'"{value}"@{lang}' if lang is not None else f'"{value}"' if datatype is None or datatype == XSD + "string" else f'"{value}"^^<{datatype}>'
+
+
 def local_name(iri: Column) -> Column:
     """What follows the last # of an IRI, or else its last /."""
     return F.element_at(F.split(iri, "[#/]"), -1)

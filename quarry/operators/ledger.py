@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.terms import nt
+from quarry.functions.terms import nt, nt_text
 from quarry.operators.stage import stored
 
 
@@ -39,6 +40,12 @@ def quads_hash(quads: str) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.array_distinct(hashes)), ""), 256)
 
 
+def rows_hash(rows: Iterable[tuple]) -> str:
+    """quads_hash() of a graph's triples (s, s_kind, p, o, o_kind, o_dt, o_lang) in a task's Python."""
+    told = (("Magic_S" if of == "bnode" else nt_text(s, of)) + f"<{p}>" + ("Magic_O" if kind == "bnode" else nt_text(o, kind, dt, lang)) for s, of, p, o, kind, dt, lang in rows)
+    return sha256("".join(sorted({sha256(t.encode()).hexdigest() for t in told})).encode()).hexdigest()
+
+
 def merkle_root(leaves: DataFrame, col: str = "hash") -> DataFrame:
     """One row, root: pairs of sorted leaves hashed level by level, an odd one promoted; 64 zeros without leaves.
 

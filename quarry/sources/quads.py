@@ -9,9 +9,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.functions.terms import XSD, nt
+from quarry.operators.ledger import rows_hash
 
 SCHEMA = "g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
 COLUMNS = ["g", "s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang"]
@@ -256,26 +257,17 @@ def parse_turtle(files: DataFrame, text: str = "text", graph: str = "g", strict:
     return files.select(F.col(graph).alias("g"), F.col(text).alias("t")).mapInPandas(run, SCHEMA).dropDuplicates()
 
 
-def parse_turtle_rows(files: DataFrame, text: str = "text", graph: str = "g", strict: bool = False, raw_predicate: str = "urn:quarry:hasData") -> DataFrame:
-    """files with quads instead of text: parse_turtle() where a document is all of its graph, whose different quads stay in its row."""
+def turtle_hashes(files: DataFrame, text: str = "text", graph: str = "g", strict: bool = False, raw_predicate: str = "urn:quarry:hasData") -> DataFrame:
+    """files with triples and hash instead of text: of parse_turtle() the count and graph_hash(), where a document is all of its graph. It stays in its row."""
     kept = [c for c in files.columns if c != text]
-    parts = [c for c in COLUMNS if c != "g"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 1000):  # documents handed on at a time
-                batch = whole.slice(at, 1000)
-                names, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (graph, text))
-                rows, ends = [], [0]
-                for g, t in zip(names, texts):
-                    rows += dict.fromkeys(_turtle_rows(g, t, strict, raw_predicate))
-                    ends.append(len(rows))
-                quads = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * len(parts), parts)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), quads)
-                yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in kept), lists], [*kept, "quads"])
-
-    schema = files.select(*kept).schema.add("quads", ArrayType(StructType([StructField(c, StringType()) for c in parts])))
-    return files.mapInArrow(run, schema)
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            told = [(len(rows), rows_hash(rows)) for rows in (dict.fromkeys(_turtle_rows(g, t, strict, raw_predicate)) for g, t in zip(column(graph).to_pylist(), column(text).to_pylist()))]
+            yield pa.record_batch([*map(column, kept), pa.array([n for n, _ in told], pa.int64()), pa.array([h for _, h in told], pa.string())], [*kept, "triples", "hash"])
+
+    return files.mapInArrow(run, StructType([*[files.schema[c] for c in kept], StructField("triples", LongType()), StructField("hash", StringType())]))
 
 
 def read_turtle(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

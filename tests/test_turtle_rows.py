@@ -1,11 +1,11 @@
-"""Turtle read in a graph's row: the plain reader against the whole one, rows against quads, and the round trip's plan."""
+"""Turtle read in a graph's row: the plain reader against the whole one, hashes against quads, and the round trip's plan."""
 
 import random
 
 from pyspark.sql import functions as F
 
 from quarry.operators.ledger import graph_hash, quads_hash
-from quarry.sources.quads import COLUMNS, _any_triples, _plain_triples, parse_turtle, parse_turtle_rows
+from quarry.sources.quads import COLUMNS, _any_triples, _plain_triples, parse_turtle, turtle_hashes
 from tests.test_narrow import odd, plan_of, same_as_sql  # noqa: F401
 
 DOCUMENT = '@prefix c: <urn:c#> .\n@prefix : <urn:d#> .\n\n<urn:a> c:p "x y" , _:b1 ;\n    :q c:o.r/s .\n_:b1 c:p <urn:a> .\n'
@@ -34,17 +34,17 @@ def test_plain_is_what_the_whole_reader_reads():
     assert plain > 2000
 
 
-def test_rows_hold_the_quads(spark):
-    texts = [DOCUMENT, DOCUMENT + '<urn:a> c:p "x y" , 5 , "z"@en , "v"^^<urn:t> , "\\n" .', "no Turtle", "", None, "<urn:a> <urn:b> [] ."]
-    files = spark.createDataFrame([(f"g{i}", t, i) for i, t in enumerate(texts * 400)], "g string, text string, n int").withColumn("g", F.concat("g", F.lit("x")))
-    rows = parse_turtle_rows(files)
-    assert rows.columns == ["g", "n", "quads"] and rows.count() == 2400
-    found = rows.select("g", F.explode("quads").alias("q")).select("g", "q.*").select(*COLUMNS)
-    wanted = parse_turtle(files)
-    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
-    hashes = rows.where(F.size("quads") > 0).select("g", quads_hash("quads").alias("hash"))
-    assert sorted(map(tuple, hashes.collect())) == sorted(map(tuple, graph_hash(wanted).collect()))
-    assert parse_turtle_rows(files.limit(0)).collect() == []
+def test_hashes_are_those_of_the_quads(spark):
+    texts = [DOCUMENT, DOCUMENT + '<urn:a> c:p "x y" , 5 , "z"@en , "v"^^<urn:t> , "\\n\\"\\\\" , "s"^^<http://www.w3.org/2001/XMLSchema#string> .', 'no "Turtle"\n', "", None, "<urn:a> <urn:b> [] ."]
+    files = spark.createDataFrame([(f"g{i}", t, i) for i, t in enumerate(texts * 40)], "g string, text string, n int")
+    found = turtle_hashes(files)
+    assert found.columns == ["g", "n", "triples", "hash"] and found.count() == 240
+    quads = parse_turtle(files)
+    wanted = sorted(map(tuple, graph_hash(quads, F.count(F.lit(1)).alias("triples")).select("g", "triples", "hash").collect()))
+    assert sorted(map(tuple, found.where("triples > 0").select("g", "triples", "hash").collect())) == wanted
+    rows = quads.groupBy("g").agg(F.collect_list(F.struct(*COLUMNS[1:])).alias("quads")).select("g", quads_hash("quads").alias("hash"))
+    assert sorted(map(tuple, rows.collect())) == [(g, h) for g, _, h in wanted]
+    assert turtle_hashes(files.limit(0)).collect() == []
 
 
 def test_round_trip_stays_in_its_row(spark, odd):  # noqa: F811
